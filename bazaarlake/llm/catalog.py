@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from bazaarlake.llm.packing import op9_packing
 from bazaarlake.llm.quality_rules import op1_quality_rules
+from bazaarlake.llm.simhash import op10_simhash_near_dedup
 from bazaarlake.llm.token_counts import op3_token_counts
 from bazaarlake.llm.url_filter import op5_url_filters
 
@@ -14,5 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_token_counts": op3_token_counts,
     "op5_url_filters": op5_url_filters,
+    "op9_packing": op9_packing,
+    "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
