@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from bazaarlake.llm.packing import op9_packing
 from bazaarlake.llm.quality_rules import op1_quality_rules
 from bazaarlake.llm.simhash import op10_simhash_near_dedup
+from bazaarlake.llm.suffix_dedup import op2_suffix_array_dedup
 from bazaarlake.llm.token_counts import op3_token_counts
 from bazaarlake.llm.url_filter import op5_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_token_counts": op3_token_counts,
     "op5_url_filters": op5_url_filters,
     "op9_packing": op9_packing,
