@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from bazaarlake.llm.html_text import op7_html_extraction
+from bazaarlake.llm.language_id import op8_language_id
 from bazaarlake.llm.packing import op9_packing
 from bazaarlake.llm.quality_rules import op1_quality_rules
 from bazaarlake.llm.simhash import op10_simhash_near_dedup
@@ -18,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_token_counts": op3_token_counts,
     "op5_url_filters": op5_url_filters,
+    "op7_html_extraction": op7_html_extraction,
+    "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
