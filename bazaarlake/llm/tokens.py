@@ -23,7 +23,7 @@ SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
 #: The tokenizer's own pre-token pattern, for SAFE characters in lower case.
 PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 #: Pre-tokens remembered in a worker before it starts afresh.
-MEMO = 400_000
+MEMO = 1_000_000
 
 _coders: dict[str, WordBpe] = {}
 
@@ -73,10 +73,15 @@ class WordBpe:
         if len(self.memo) + len(new) > MEMO + len(self.single):
             self.memo = dict(self.single)
             new = list(set(pretokens).difference(self.memo))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for s, e in zip(part, self.whole.encode_batch(part, add_special_tokens=False), strict=True):
-                self.memo[s] = np.array(e.ids, "<u4").tobytes()
+        for at in range(0, len(new), 512):
+            part = new[at : at + 512]
+            found = self.whole.encode(" ".join(part), add_special_tokens=False)  # each is a pre-token here too
+            ids = np.array(found.ids, "<u4").tobytes()
+            starts = np.flatnonzero(np.diff(np.array(found.word_ids), prepend=-1)).tolist()
+            if len(starts) != len(part):
+                raise ValueError("a pre-token was split")
+            for s, i, j in zip(part, starts, [*starts[1:], len(found.ids)], strict=True):
+                self.memo[s] = ids[4 * i : 4 * j]
 
     def ids(self, text: str | None) -> bytes:
         """The text's ids as little-endian unsigned 32-bit numbers."""
