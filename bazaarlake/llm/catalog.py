@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from bazaarlake.llm.attention_lm import op6_lm_scoring
+from bazaarlake.llm.decontaminate import op4_benchmark_decontamination
 from bazaarlake.llm.html_text import op7_html_extraction
 from bazaarlake.llm.language_id import op8_language_id
 from bazaarlake.llm.packing import op9_packing
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_token_counts": op3_token_counts,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_url_filters": op5_url_filters,
     "op6_lm_scoring": op6_lm_scoring,
     "op7_html_extraction": op7_html_extraction,

@@ -180,10 +180,10 @@ def find_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, h, text): what tells documents apart, and the bytes."""
+    """docs with (doc, h, text): what tells documents apart, and the bytes."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
-    return docs.select(doc.alias("doc"), F.hash(text).alias("h"), text.cast("binary").alias("text"))
+    return docs.select("*", doc.alias("doc"), F.hash(text).alias("h")).withColumn(text_col, text.cast("binary"))
 
 
 def place_of(loc: str = "loc") -> Column:
@@ -319,11 +319,11 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     return whole.unionByName(partly).unionByName(single)
 
 
-def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, h, text, spans) to (doc, h, n_bytes, n_removed, n_spans, kept)."""
+def remove(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.RecordBatch]:
+    """(row, text, spans) to (row, n_bytes, n_removed, n_spans, kept); as_text leaves out cut characters."""
     for batch in batches:
         out = []
-        for text, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+        for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             kept, at, count, cut = [], 0, 0, 0
             for s, n in sorted((x["s"], x["n"]) for x in spans or ()):
                 end = s + n - 1 + MIN
@@ -336,23 +336,31 @@ def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     cut += end - at
                     at = end
             kept.append(text[at:])
-            out.append((len(text), cut, count, b"".join(kept)))
+            whole = b"".join(kept)
+            out.append((len(text), cut, count, whole.decode(errors="ignore") if as_text else whole))
         columns = list(zip(*out, strict=True)) or [()] * 4
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        arrays = [batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))]
-        yield pa.RecordBatch.from_arrays(arrays, ["doc", "h", "n_bytes", "n_removed", "n_spans", "kept"])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary())
+        arrays = [batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))]
+        yield pa.RecordBatch.from_arrays(arrays, ["row", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, h, n_bytes, n_removed, n_spans, kept): kept holds the bytes that stay."""
-    texts = keyed(docs, id_col, text_col)
-    spans = repeated_spans(texts).groupBy("doc", "h").agg(F.collect_list(F.struct("s", "n")).alias("spans"))
-    joined = texts.join(spans, ["doc", "h"], "left").select("doc", "h", "text", "spans")
-    done = joined.mapInArrow(remove, "doc long, h int, n_bytes long, n_removed long, n_spans long, kept binary")
-    return done.withColumn("doc", F.nullif(F.col("doc"), F.lit(NULL_ID))).withColumnRenamed("doc", id_col)
+def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
+    """(row, n_bytes, n_removed, n_spans, kept): row has docs' other columns, kept the bytes or the text that stay."""
+    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("row")
+    texts = keyed(docs.select(others, text_col), f"row.`{id_col}`", text_col)
+    spans = repeated_spans(texts.select("doc", "h", "text")).groupBy("doc", "h").agg(F.collect_list(F.struct("s", "n")).alias("spans"))
+    joined = texts.join(spans, ["doc", "h"], "left").select("row", "text", "spans")
+    fields = f"row {joined.schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept "
+    return joined.mapInArrow(lambda batches: remove(batches, as_text), fields + ("string" if as_text else "binary"))
+
+
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with repeats removed from the texts; all rows stay, some with an empty text."""
+    done = without_repeats(docs, id_col=id_col, text_col=text_col, as_text=True)
+    return done.select(*(F.col("kept").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is removed of every document, and a digest of what stays."""
-    done = without_repeats(read(spark, sf_dir, "documents"))
-    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    done = without_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
