@@ -247,7 +247,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
             found, block = found.union(search(block)), []
     if block:
         found = found.union(search(block))
-    return found.distinct()
+    return found.dropDuplicates(["doc_id", "h", "item_id"])
 
 
 OUT = pa.schema(

@@ -180,10 +180,11 @@ def find_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with (doc, h, text): what tells documents apart, and the bytes."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
-    return docs.select("*", doc.alias("doc"), F.hash(text).alias("h")).withColumn(text_col, text.cast("binary"))
+    """(row, doc, h, text): docs' other columns, what tells documents apart, and the bytes."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    doc = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID))
+    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("row")
+    return docs.select(others, doc.alias("doc"), F.hash(text).alias("h"), text.cast("binary").alias("text"))
 
 
 def place_of(loc: str = "loc") -> Column:
@@ -346,8 +347,7 @@ def remove(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.Reco
 
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
     """(row, n_bytes, n_removed, n_spans, kept): row has docs' other columns, kept the bytes or the text that stay."""
-    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("row")
-    texts = keyed(docs.select(others, text_col), f"row.`{id_col}`", text_col)
+    texts = keyed(docs, id_col, text_col)
     spans = repeated_spans(texts.select("doc", "h", "text")).groupBy("doc", "h").agg(F.collect_list(F.struct("s", "n")).alias("spans"))
     joined = texts.join(spans, ["doc", "h"], "left").select("row", "text", "spans")
     fields = f"row {joined.schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept "
