@@ -2,7 +2,7 @@
 
 Documents are cut into pieces of the sequence length and a rest; a histogram of piece lengths, in classes of WIDTH
 tokens, is the demand. A linear program over patterns (how many pieces of each class fill one sequence) starts from
-patterns of one class each; a knapsack dynamic program finds the pattern that would help most, until none helps.
+greedily filled patterns; a knapsack dynamic program finds the pattern that would help most, until none helps.
 Rounded down, the patterns take all but a bounded rest (less than one sequence a pattern), which first-fit packs. Spark
 ranks the pieces within their class and hands each one the slot of that rank.
 
@@ -74,6 +74,29 @@ def knapsack(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[float
     return float(best[capacity]), counts
 
 
+def filled_basis(sizes: np.ndarray, need: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns, one a column, and how often each is used, which take the need exactly.
+
+    Each pattern takes the largest sizes still needed and is used until one of its sizes is; no later pattern holds that
+    size, so the columns are independent.
+    """
+    basis, used = np.zeros((len(sizes), len(sizes))), np.zeros(len(sizes))
+    left, wanted = need.copy(), np.ones(len(sizes), bool)
+    for j in range(len(sizes)):
+        pattern, room = np.zeros(len(sizes)), capacity
+        for i in np.flatnonzero(wanted)[::-1]:
+            if sizes[i] <= room:
+                pattern[i] = min(room // sizes[i], max(1, int(left[i])))
+                room -= int(pattern[i] * sizes[i])
+        held = np.flatnonzero(pattern)
+        out = held[(left[held] / pattern[held]).argmin()]
+        used[j] = left[out] / pattern[out]
+        left = np.maximum(left - used[j] * pattern, 0)
+        wanted[out] = False
+        basis[:, j] = pattern
+    return basis, used
+
+
 def patterns_by_columns(demand: dict[int, int], capacity: int, rounds: int = 1200, gap: float = 1e-3) -> list[tuple[dict[int, int], int]]:
     """Patterns {class: pieces} with how often each is used, which take the demand exactly.
 
@@ -85,8 +108,8 @@ def patterns_by_columns(demand: dict[int, int], capacity: int, rounds: int = 120
         return []
     exact = np.array([demand[int(s)] for s in sizes], float)
     need = exact * (1 + 1e-7 * np.sqrt(2 + np.arange(len(sizes))))  # no two ratios tie, so the method can't cycle
-    fill = capacity // sizes
-    basis, inverse, used = np.diag(fill.astype(float)), np.diag(1.0 / fill), need / fill
+    basis, used = filled_basis(sizes, need, capacity)
+    inverse = np.linalg.inv(basis)
     full = (1 + gap) * (need @ sizes) / capacity
     for k in range(rounds):
         if used.sum() <= full:  # hardly more sequences than if all were full
