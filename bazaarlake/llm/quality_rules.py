@@ -31,32 +31,25 @@ ROUNDS = 12
 def repeated_words(words: Column) -> Column:
     """How many words lie in a 3-word window that the text holds twice or more.
 
-    The windows are sorted with their places, so that equal ones are neighbours: n log n steps for any text.
+    Windows are told apart by a 64-bit hash within their text. Where a hash occurs twice, they are sorted with their
+    places, so that equal ones are neighbours: n log n steps for any text.
     """
     size = F.size(words)
 
-    def count(windows: Column) -> Column:
-        def repeated(heads: Column) -> Column:
-            at = F.filter(
-                F.transform(
-                    windows,
-                    lambda w, i: F.when(
-                        (F.get(heads, i) == F.get(heads, i - 1)) | (F.get(heads, i) == F.get(heads, i + 1)),
-                        F.substring_index(w, " ", -1).cast("int"),
-                    ),
-                ),
-                lambda p: p.isNotNull(),
-            )
-            return F.size(F.array_distinct(F.flatten(F.transform(at, lambda p: F.array(p, p + 1, p + 2)))))
-
-        heads = F.transform(windows, lambda w: F.substring_index(w, " ", 3))
-        return F.when(F.size(F.array_distinct(heads)) == F.size(heads), 0).otherwise(let(heads, repeated))
+    def covered(ranked: Column) -> Column:
+        again = F.transform(ranked, lambda w, i: F.when((w.h == F.get(ranked, i - 1).h) | (w.h == F.get(ranked, i + 1).h), w.at))
+        starts = F.filter(again, lambda p: p.isNotNull())
+        return F.size(F.array_distinct(F.flatten(F.transform(starts, lambda p: F.array(p, p + 1, p + 2)))))
+
+    def count(hashes: Column) -> Column:
+        ranked = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("at"))))
+        return F.when(F.size(F.array_distinct(hashes)) == size - 2, 0).otherwise(let(ranked, covered))
 
     def window(i: Column) -> Column:
-        return F.concat_ws(" ", F.get(words, i - 1), F.get(words, i), F.get(words, i + 1), i.cast("string"))
+        return F.xxhash64(F.get(words, i - 1), F.get(words, i), F.get(words, i + 1))
 
-    windows = F.sort_array(F.transform(F.sequence(F.lit(1), size - 2), window))
-    return F.when(size < 3, 0).otherwise(let(windows, count)).cast("long")
+    hashes = F.transform(F.sequence(F.lit(1), size - 2), window)
+    return F.when(size < 3, 0).otherwise(let(hashes, count)).cast("long")
 
 
 def statistics(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
