@@ -34,10 +34,12 @@ ANSWER, ITEMS = 5, 2000
 
 
 class Hashes(dict):
-    def __missing__(self, word: str) -> int:
+    """The hashes of the words in what stands between white space, in 4 bytes each; words never hold white space."""
+
+    def __missing__(self, part: str) -> bytes:
         if len(self) > 500_000:
             self.clear()
-        value = self[word] = zlib.crc32(word.encode())
+        value = self[part] = np.array([zlib.crc32(w.encode()) for w in WORD.findall(part)], np.uint32).tobytes()
         return value
 
 
@@ -45,8 +47,7 @@ _hashes = Hashes()
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    words = WORD.findall((text or "").lower())
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint32, len(words))
+    return np.frombuffer(b"".join(map(_hashes.__getitem__, (text or "").lower().split())), np.uint32)
 
 
 def list_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +80,7 @@ def passages(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return both, text, first
 
 
-def chunks(batches: Iterator[pa.RecordBatch], size: int = 250_000) -> Iterator[tuple[list[int], list[int], list[np.ndarray]]]:
+def chunks(batches: Iterator[pa.RecordBatch], size: int = 60_000) -> Iterator[tuple[list[int], list[int], list[np.ndarray]]]:
     """Documents with about size words in all."""
     ids, hashes, words, held = [], [], [], 0
     for batch in batches:
