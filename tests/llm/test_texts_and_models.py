@@ -107,7 +107,7 @@ def test_no_token_sees_later_ones():
     row = model.row[np.arange(32)[None, :]]
     other = row.copy()
     other[0, 20:] = model.row[3]
-    a, b = (attention_lm.attend(model.weights, x)["logits"] for x in (row, other))
+    a, b = (attention_lm.attend(model.weights, x)["z"] for x in (row, other))
     assert np.allclose(a[0, :20], b[0, :20], atol=1e-5) and not np.allclose(a[0, 20:], b[0, 20:])
 
 
