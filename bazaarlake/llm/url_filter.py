@@ -72,7 +72,9 @@ def labelled_urls(spark: SparkSession) -> DataFrame:
             for j, sub in enumerate(("", "www.", "m.", "blog.")):
                 rows.append((f"https://{sub}{name}.{ENDS[(k + j) % 4]}{PATHS[(k + 2 * j) % 5]}", label))
             rows.append((f"http://{ORDINARY[k % len(ORDINARY)]}.{ENDS[k % 4]}/{name}/{k}", label))
-    return spark.createDataFrame(rows, "url string, label double")
+    urls, labels = ([row[k] for row in rows] for k in (0, 1))
+    listed = spark.range(1).select(F.posexplode(F.lit(urls)).alias("k", "url"))
+    return listed.select("url", F.get(F.lit(labels), F.col("k")).alias("label"))
 
 
 def train(labelled: DataFrame, reg: float = 1e-3) -> PipelineModel:
