@@ -79,14 +79,14 @@ def flips(distance: int) -> list[int]:
 
 def spanning(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links that join all values within the radius of each other, one fewer than values in each class."""
-    rest, links = np.sort(values), []
+    rest, links = np.sort(values).view(np.uint64), []  # of signed ones, bitwise_count takes the absolute value
     while len(rest) > 1:
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             at = queue.pop()
             near = np.bitwise_count(rest ^ at) <= radius
             if near.any():
-                links += [(int(x), int(at)) for x in rest[near]]
+                links += [(x, int(at.view(np.int64))) for x in rest[near].view(np.int64).tolist()]
                 queue.extend(rest[near])
                 rest = rest[~near]
     return links

@@ -71,6 +71,15 @@ def test_links_join_all_within_the_radius(spark, bucket):
     assert all(len(g) == 1 for g in groups.values()) and len({min(g) for g in groups.values()}) == len(groups)
 
 
+def test_links_across_the_sign_bit():
+    """Three and more values of one bucket that differ in bit 63 and one to three other bits."""
+    signed = np.array([0, 1 << 63 | 1, 1 << 63 | 1 << 20 | 1 << 40, 1 << 63 | 0b111 << 30], np.uint64).view(np.int64)
+    for values in (signed[[0, 1, 3]], signed[[0, 2, 3]], signed):
+        links = simhash.spanning(values, 4)
+        assert len(links) == len(values) - 1 and {x for link in links for x in link} == set(values.tolist())
+        assert all(((x ^ y) % 2**64).bit_count() <= 4 for x, y in links)
+
+
 def test_masks_cover_every_pattern():
     masks = [m % 2**64 for m in simhash.masks(4)]
     rng = np.random.default_rng(1)
