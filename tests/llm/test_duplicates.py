@@ -6,7 +6,7 @@ import itertools
 import numpy as np
 import pytest
 import xxhash
-from fixtures import clashing, documents, empty, rows
+from fixtures import clashing, documents, empty, prose, rows
 
 from bazaarlake.llm import simhash, suffix_dedup
 
@@ -54,6 +54,15 @@ def test_one_of_each_class_stays(spark):
     assert simhash.keep_first(empty(spark)).count() == 0
 
 
+def test_rows_without_id_and_ids_of_two_texts_stay(spark):
+    """Several texts without an id, one of them a copy of a kept one, and one id with two texts."""
+    a, b, c, d = (prose(50 + k, 80) for k in range(4))
+    docs = clashing(spark.createDataFrame([(None, a), (None, b), (None, b), (None, c), (1, c), (2, c), (7, d), (7, a + b), (7, d)], "doc_id long, text string"))
+    kept = simhash.keep_first(docs).collect()
+    want = [(None, a), (None, b), (1, c), (7, d), (7, a + b)]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=repr) == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize("bucket", [8192, 8])
 def test_links_join_all_within_the_radius(spark, bucket):
     """Also with so small a bound for buckets that midpoints take over."""
