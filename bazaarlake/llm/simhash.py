@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bazaarlake.llm import near_copies
 from bazaarlake.llm.common import read, stored
 from bazaarlake.llm.components import components
 
@@ -47,17 +48,16 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, hash_col: str | None = None) -> DataFrame:
-    """(id_col, fp), and hash_col if there is one: fp as a signed long."""
-    extra = [hash_col] if hash_col else []
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
+    """(id_col, fp): fp as a signed long."""
 
     def hash_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(t, shingle) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), *batch.columns[2:]], ["key", "fp", *extra])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["key", "fp"])
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"), *extra)
-    return narrow.mapInArrow(hash_texts, ", ".join(f"{c} long" for c in ["key", "fp", *extra])).withColumnRenamed("key", id_col)
+    narrow = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
+    return narrow.mapInArrow(hash_texts, "key long, fp long").withColumnRenamed("key", id_col)
 
 
 def masks(radius: int) -> list[int]:
@@ -134,19 +134,15 @@ def near_links(fps: DataFrame, radius: int = 4, bucket: int = BUCKET) -> DataFra
     return links.distinct()
 
 
-def linked(marked: DataFrame, id_col: str, radius: int = 4) -> DataFrame:
-    """marked (id_col, fp, ...) with root, the component's smallest fingerprint, and component_id, its smallest id."""
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
+    """(id_col, fp, component_id): component_id is the smallest id that links reach."""
+    marked = stored(fingerprints(docs, id_col=id_col, text_col=text_col), "fingerprints")
     firsts = stored(marked.groupBy("fp").agg(F.min(id_col).alias("first")), "distinct-fingerprints")
     roots = components(near_links(firsts.select("fp"), radius))
     rooted = firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return marked.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp")
-
-
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
-    """(id_col, fp, component_id): component_id is the smallest id that links reach."""
-    marked = stored(fingerprints(docs, id_col=id_col, text_col=text_col), "fingerprints")
-    return linked(marked, id_col, radius).select(id_col, "fp", "component_id")
+    classes = rooted.join(least, "root").select("fp", "component_id")
+    return marked.join(classes, "fp").select(id_col, "fp", "component_id")
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,12 +154,13 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, that with the smallest id; docs' own columns.
 
+    Components are those of near_copies: texts link at a Jaccard similarity of 0.8 of their sets of five-word shingles.
+    op10's parameters (4 words, 4 of 64 bits) would leave most such copies in; they hold for that query alone.
     Of rows of the component that repeat the kept id, one stays, that with the smallest text hash; of a component without
-    any id, one row stays for each fingerprint. Rows that share an id but not the component are no copies.
+    any id, one row stays for each set. Rows that share an id but not the component are no copies.
     """
     hashed = docs.withColumn("_text_hash_", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    marked = stored(fingerprints(hashed, id_col=id_col, text_col=text_col, hash_col="_text_hash_"), "fingerprints")
-    found = linked(marked, id_col).where(F.col(id_col).eqNullSafe(F.col("component_id")))
+    found = near_copies.linked(hashed, id_col, text_col, "_text_hash_").where(F.col(id_col).eqNullSafe(F.col("component_id")))
     alone = F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")
     kept = found.groupBy("root", alone).agg(F.min(F.struct("_text_hash_", id_col)).alias("row"))
     kept = kept.select(F.col(f"row.{id_col}").alias("_kept_id_"), F.col("row._text_hash_").alias("_kept_hash_")).distinct()

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from fixtures import clashing, documents, empty, prose, rows
 
-from bazaarlake.llm import simhash, suffix_dedup
+from bazaarlake.llm import near_copies, simhash, suffix_dedup
 
 
 def plain_fingerprint(text):
@@ -63,6 +63,29 @@ def test_rows_without_id_and_ids_of_two_texts_stay(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in kept), key=repr) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("group", [1024, 8])
+def test_texts_of_similar_shingles_are_copies(spark, monkeypatch, group):
+    """Against all pairs; also with so small a bound for classes that they are dealt to several tasks."""
+    monkeypatch.setattr(near_copies.exact_links, "__defaults__", (group,))
+    rng = np.random.default_rng(4)
+    texts = []
+    for k in range(4):
+        words = prose(70 + k, 200).split()
+        for _ in range(25):
+            other = list(words)
+            for at in rng.integers(0, 200, rng.integers(0, 7)):
+                other[int(at)] = f"new{rng.integers(1000)}"
+            texts.append(" ".join(other))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    group_of = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            low, high = sorted((group_of[a], group_of[b]))
+            group_of = [low if g == high else g for g in group_of]
+    kept = simhash.keep_first(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(group_of)) and 4 <= len(set(group_of)) < 50
+
+
 @pytest.mark.parametrize("bucket", [8192, 8])
 def test_links_join_all_within_the_radius(spark, bucket):
     """Also with so small a bound for buckets that midpoints take over."""
