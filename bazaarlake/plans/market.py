@@ -52,12 +52,18 @@ def score_single(spark, sf_dir):
     return deals.score_offers(rows, rows.where("id % 20 = 0")).select("id", "score", "median", "count")
 
 
+def score_all(spark, sf_dir):
+    rows = listings(spark, sf_dir)
+    return deals.score_offers(rows, rows).select("id", "score", "median", "count")
+
+
 QUERIES = {
     "d3_find_deals": lambda s, d: deals.find_deals(listings(s, d)).select(*COLS),
     "d3_filtered_deals": lambda s, d: deals.find_deals(listings(s, d), brand="ASIA", min_score=30).select(*COLS),
     "d1_d2_j9_year_bands": lambda s, d: deals.banded(listings(s, d)).select("id", "median", "peers", "confidence", deals.score(F.col("price"), F.col("median")).alias("score")),
     "d4_q10_suspicious": lambda s, d: deals.suspicious(listings(s, d)).select("id", F.array_join("reasons", ";").alias("reasons"), F.size("reasons").alias("n"), "score"),
     "d5_j13_score_offers": score_single,
+    "d5_j13_score_all_offers": score_all,
     "d6_confidence": lambda s, d: deals.find_deals(listings(s, d), min_confidence="medium").select("id", "confidence", "score"),
     "j5_without_reviewed": lambda s, d: deals.find_deals(listings(s, d)).join(listings(s, d).where("review_status is not null").select("id"), "id", "left_anti").select("id", "score"),
     "q16_deals_page": lambda s, d: deals.page(deals.find_deals(listings(s, d)), 20, 20).select(*COLS),
@@ -82,3 +88,4 @@ ORACLE_SQL = {
     "a12_quartiles": f"{LISTINGS_SQL} select brand, model, fuel, q1, median, q3, q3 - q1 as iqr, n as count from ({STATS})",
     "a13_segments": f"{LISTINGS_SQL} select brand, model, fuel, count(*) as n from listings group by all having count(*) >= 5",
 }
+ORACLE_SQL["d5_j13_score_all_offers"] = ORACLE_SQL["d5_j13_score_offers"].replace("t.id % 20 = 0 and ", "")

@@ -25,6 +25,11 @@ def test_runs_without_sql(spark, name):
     assert catalog.QUERIES[name](spark, SF_DIR).count() > 0
 
 
+def test_offers_of_every_id_are_scored(spark):
+    ids = catalog.QUERIES["d5_j13_score_all_offers"](spark, SF_DIR).selectExpr("id % 20 as k").distinct().count()
+    assert ids == 20
+
+
 def test_sql_belongs_to_queries():
     assert not set(catalog.ORACLE_SQL) - set(catalog.QUERIES)
 
