@@ -76,6 +76,22 @@ def small_model(steps=60):
     return attention_lm.train(counts, sample, steps=steps), sample
 
 
+def test_weights_come_from_all_training_documents(spark):
+    """Every window of every training text counts once, and what only other texts than the sample hold is learned."""
+    path = tokens.tokenizer_path()
+    texts = [r[1] or "" for r in rows() if not held_out(r[0])]
+    ids = [np.append(np.frombuffer(tokens.coder(path).ids(t), "<u4").astype(np.int64), 0) for t in texts]
+    end = tokens.coder(path).whole.get_vocab_size()
+    ids = [np.append(x[:-1], end) for x in ids]
+    counts = np.bincount(np.concatenate(ids), minlength=end + 1).astype(float)
+    first = attention_lm.train(counts, ids[:3], steps=20)
+    df = spark.createDataFrame([(t, True) for t in texts] + [("held out", False)], "text string, train boolean").repartition(3)
+    found = [tuple(r) for r in attention_lm.learned(df, spark.sparkContext.broadcast(first), path).collect()]
+    assert sum(n for n, _ in found) == len(attention_lm.windows(ids, end)[0])
+    model = attention_lm.average(first, found)
+    assert attention_lm.scores(model, ids[3:]).sum() > attention_lm.scores(first, ids[3:]).sum()
+
+
 def test_gradients_are_the_slopes():
     model, sample = small_model(0)
     w = {k: v.astype(np.float64) for k, v in model.weights.items()}
