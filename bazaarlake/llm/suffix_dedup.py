@@ -6,18 +6,23 @@ equal anchors, at the same place. Runs of windows with one anchor form a region,
 row for about every 35th byte: (hash of the anchor, hash of the region, place).
 
 1. Regions with equal hashes: all but the earliest are repeats, whole. Each task drops its own repeats first, so that a
-   passage that very many documents hold reaches the shuffle once a task.
-2. Anchors that stand in different regions: the earliest of each region is compared with the others. Their suffixes from the
-   anchor on are merge-sorted, two suffixes being compared at the end of their common extension, which a binary search
-   over prefix hashes finds; common extensions to the left are found the same way. Together they tell which windows are
-   equal; the bytes are compared before anything is removed (collision verification).
-3. Anchors in very many regions (CAP) are not compared in one task: each window of theirs becomes a row instead, hashed, and
-   the earliest of equal ones stays. That grows with the rows, not their square.
-
-Step 1 and 3 rely on two independent hashes of 64 bits, of anchor and region or window, being equal together.
-
-Documents are told apart by id and a hash of the text: of rows that repeat a document, id and text, all get the
-result of the first. A null id comes before all others; null text counts as empty. Documents under MIN bytes lose
+   passage that very many documents hold reaches the shuffle once a task. An anchor that stands in more than CAP different
+   regions of one task skips this step, but for two regions that tell all others of it, so that no task gets them all.
+2. Regions whose anchor stands in different regions are cut in two: windows with the anchor in their right half, and the
+   others. Windows can only be equal if the bytes that all windows of their part have in common are: 66 or 67 bytes rather
+   than 32. Parts with equal common bytes meet; most parts meet none.
+3. Of up to CAP parts that meet, the suffixes from the anchor on are merge-sorted, two suffixes being compared at the end of
+   their common extension, which a binary search over prefix hashes finds; common extensions to the left are found the
+   same way. Together they tell which windows are equal; the bytes are compared before anything is removed (collision
+   verification).
+4. Where more than CAP parts meet, each is cut in two again, with more bytes in common, until parts are single windows and
+   the earliest of equal ones stays. Each task drops parts that are equal, byte by byte, to one it has met.
+
+Step 1 relies on two unrelated 64-bit hashes, a polynomial of the anchor and XXH3 of the region, being equal together; all
+later steps compare bytes.
+
+Documents are told apart by id and a 64-bit hash of the text: rows that repeat a document, id and text, count once, and
+all get the same result. A null id comes before all others; null text counts as empty. Documents under MIN bytes lose
 nothing. An empty table gives an empty result; extra columns are carried by remove_repeats only.
 """
 
@@ -28,6 +33,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,10 +42,13 @@ from bazaarlake.llm.common import read, stored
 
 MIN, K = 100, 32
 SPAN = MIN - K + 1
-#: Bytes hashed at once; rows gathered before a task drops its own repeats; regions of an anchor compared in one task.
-BLOCK, ROWS, CAP = 1 << 20, 500_000, 64
+#: Bytes hashed at once; rows gathered before a task drops its own repeats; parts compared in one task.
+BLOCK, ROWS, CAP = 1 << 19, 200_000, 64
 NULL_ID = -(2**63)
-FOUND = "a long, r long, doc long, h int, loc long"
+FOUND = "a long, r long, doc long, h long, loc long"
+#: Parts that meet have one g; a repeat has no part, and the number of its windows in g.
+PARTS = "g long, doc long, h long, loc long, part binary"
+SPANS = "doc long, h long, s long, n long"
 
 _random = np.random.default_rng(20240607)
 #: A random number for each byte value, and the odd base of the polynomials with its inverse, modulo 2**64.
@@ -96,9 +106,10 @@ def regions(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np
     anchor = anchor[window]
     first = np.flatnonzero(np.r_[True, (np.diff(anchor) != 0) | (np.diff(window) != 1)])
     s, n, p = window[first], np.diff(np.r_[first, len(window)]), anchor[first]
-    whole = (sums[s + n - 1 + MIN] - sums[s]) * back[s]
-    shape = mix((n.astype(np.uint64) << np.uint64(8)) | (p - s).astype(np.uint64))
-    return s, n, p - s, grams[p], mix(whole ^ shape)
+    view, digest = memoryview(data), xxhash.xxh3_64_intdigest
+    ends = (s + n - 1 + MIN).tolist()
+    whole = np.fromiter((digest(view[i:j], seed) for i, j, seed in zip(s.tolist(), ends, (p - s).tolist(), strict=True)), np.uint64, len(s))
+    return s, n, p - s, grams[p], whole
 
 
 class Gathered:
@@ -122,7 +133,16 @@ class Gathered:
         a, r, doc, h, s, n, off = (c[order] for c in (a, r, doc, h, s, n, off))
         first = np.r_[True, (a[1:] != a[:-1]) | (r[1:] != r[:-1])]
         again = np.r_[False, ~first[1:] & (doc[1:] == doc[:-1]) & (h[1:] == h[:-1]) & (s[1:] == s[:-1])]
-        yield batch_of(a[first], r[first], doc[first], h[first], (s << 16 | n << 8 | off)[first])
+        loc = s << 16 | n << 8 | off
+        group = np.cumsum(np.r_[True, a[1:] != a[:-1]]) - 1
+        regions = np.bincount(group, first)
+        nth = np.cumsum(first) - np.repeat(np.cumsum(regions) - regions, np.bincount(group)).astype(np.int64)
+        many = regions[group] > CAP
+        plain = first & (~many | (nth <= 2))
+        yield batch_of(a[plain], r[plain], doc[plain], h[plain], loc[plain])
+        if many.any():  # negative places: these regions are known to have others of their anchor
+            hot = first & many
+            yield batch_of(mix((a[hot] ^ r[hot]).view(np.uint64)).view(np.int64), r[hot], doc[hot], h[hot], ~loc[hot])
         rest = ~first & ~again
         doc, h, s, n = doc[rest], h[rest], s[rest], n[rest]
         if len(doc):
@@ -164,7 +184,7 @@ def find_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     gathered = Gathered()
     for batch in batches:
         doc, h, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
-        sizes = [len(t) for t in texts.to_pylist()]
+        sizes = pc.binary_length(texts).to_pylist()
         for block in blocks(sizes):
             parts = [np.frombuffer(texts[row].as_buffer(), np.uint8)[at : at + size] for row, at, size in block]
             size = np.array([x[2] for x in block])
@@ -184,34 +204,95 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     doc = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID))
     others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("row")
-    return docs.select(others, doc.alias("doc"), F.hash(text).alias("h"), text.cast("binary").alias("text"))
+    return docs.select(others, doc.alias("doc"), F.xxhash64(text).alias("h"), text.cast("binary").alias("text"))
 
 
 def place_of(loc: str = "loc") -> Column:
     return F.shiftright(loc, 16)
 
 
-def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """FOUND rows of the windows of (doc, h, text, marks): a row for each, its hash in r."""
-    gathered = Gathered()
+def halves(level: int) -> list[tuple[int, int]]:
+    """Classes (low, high) of windows by the anchor's offset in them, after so many cuts in two."""
+    classes = [(0, SPAN - 1)]
+    for _ in range(level):
+        cut = [(low, high, (low + high + 1) // 2) for low, high in classes]
+        classes = [c for low, high, mid in cut for c in ((low, mid - 1), (mid, high)) if c[0] <= c[1]]
+    return classes
+
+
+#: Cuts until each part is a single window.
+LEVELS = next(k for k in range(SPAN) if len(halves(k)) == SPAN)
+
+
+class Parts:
+    """Parts met in a task: of equal ones the earliest goes on, the others are repeats."""
+
+    def __init__(self, level: int):
+        self.classes = halves(level)
+        self.met: dict[tuple[int, int, bytes], tuple[int, int, int]] = {}
+        self.repeats: list[tuple[int, int, int, int]] = []
+
+    def cut(self, doc: int, h: int, place: int, n: int, off: int, region: bytes) -> None:
+        """The parts of the region of n windows from place on, its anchor off bytes into it."""
+        for low, high in self.classes:
+            i, j = max(0, off - high), min(n - 1, off - low)
+            if i > j:
+                continue
+            # What all windows of the class hold: low bytes before the anchor, MIN - K - high after it.
+            g = xxhash.xxh3_64_intdigest(region[off - low : off + MIN - high], high << 8 | low)
+            key, one = (g, off - i, region[i : j + MIN]), (doc, h, place + i)
+            other = self.met.setdefault(key, one)
+            if other != one:
+                self.met[key], late = min(one, other), max(one, other)
+                self.repeats.append((*late, j - i + 1))
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        rows = [(g, doc, h, s << 16 | (len(part) - MIN + 1) << 8 | off, part) for (g, off, part), (doc, h, s) in self.met.items()]
+        rows += [(n, doc, h, s << 16, None) for doc, h, s, n in self.repeats]
+        self.met, self.repeats = {}, []
+        if rows:
+            g, doc, h, loc, part = zip(*rows, strict=True)
+            ints = [pa.array(np.array(x, np.uint64).view(np.int64)) if x is g else pa.array(x, pa.int64()) for x in (g, doc, h, loc)]
+            yield pa.RecordBatch.from_arrays([*ints, pa.array(part, pa.binary())], ["g", "doc", "h", "loc", "part"])
+
+    @property
+    def size(self) -> int:
+        return len(self.met) + len(self.repeats)
+
+
+def cut_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, h, text, marks) to PARTS rows of the marked regions, cut in two."""
+    parts = Parts(1)
     for batch in batches:
         for doc, h, text, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            for a, loc in ((m["a"], m["loc"]) for m in marks):
+            for loc in marks:
                 s, n = loc >> 16, loc >> 8 & 255
-                sums = prefix_hashes(np.frombuffer(text, np.uint8)[s : s + n - 1 + MIN])
-                hashes = mix((sums[MIN:] - sums[:n]) * powers(INVERSE, BLOCK + 1)[:n]).view(np.int64)
-                same = np.ones(n, np.int64)
-                gathered.add(same * a, hashes, same * doc, np.full(n, h, np.int32), s + np.arange(n), same, 0 * same)
-            if gathered.size >= ROWS:
-                yield from gathered.flush()
-    yield from gathered.flush()
+                parts.cut(doc, h, s, n, loc & 255, text[s : s + n - 1 + MIN])
+                if parts.size >= ROWS // 4:
+                    yield from parts.flush()
+    yield from parts.flush()
+
+
+def cut_again(level: int):
+    """PARTS rows to those of the next level."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = Parts(level)
+        for batch in batches:
+            for doc, h, loc, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                parts.cut(doc, h, loc >> 16, loc >> 8 & 255, loc & 255, part)
+            if parts.size >= ROWS // 4:
+                yield from parts.flush()
+        yield from parts.flush()
+
+    return run
 
 
 class Side:
-    """A region's bytes with prefix hashes, seen from its anchor."""
+    """A part's bytes with prefix hashes, seen from its anchor."""
 
     def __init__(self, row: dict):
-        self.key, self.loc, self.bytes = (row["doc"], row["h"], row["loc"] >> 16), row["loc"], row["region"]
+        self.key, self.loc, self.bytes = (row["doc"], row["h"], row["loc"] >> 16), row["loc"], row["part"]
         self.anchor = row["loc"] & 255
         self.sums = prefix_hashes(np.frombuffer(self.bytes, np.uint8)).tolist()
 
@@ -254,7 +335,7 @@ def compare(x: Side, y: Side) -> int:
 
 
 def repeats(rows: list[dict]) -> Iterator[tuple[int, int, int, int]]:
-    """(doc, h, place, windows) of windows in one anchor's regions that an earlier region holds too."""
+    """(doc, h, place, windows) of windows in parts that an earlier part holds too."""
     order = sorted((Side(row) for row in rows), key=functools.cmp_to_key(compare))  # a merge sort
     common = [right(x, y) for x, y in zip(order, order[1:], strict=False)]
     for i, x in enumerate(order):
@@ -267,20 +348,30 @@ def repeats(rows: list[dict]) -> Iterator[tuple[int, int, int, int]]:
                 if shared + min(x.anchor, SPAN) < MIN:
                     break  # so it is for all that follow
                 continue
-            one = x.bytes[x.anchor - before : x.anchor + shared]
-            if one != y.bytes[y.anchor - before : y.anchor + shared]:
-                raise ValueError("equal hashes of different strings")  # one in 2**64; a new seed for BYTE helps
+            if x.key == y.key:
+                continue  # one place, in rows that repeat a document
+            one, other = (z.bytes[z.anchor - before : z.anchor + shared] for z in (x, y))
+            if one != other:  # equal hashes of different strings: one in 2**64
+                before = matching(x.bytes[: x.anchor][::-1], y.bytes[: y.anchor][::-1])
+                after = matching(x.bytes[x.anchor :], y.bytes[y.anchor :])
+            else:
+                after = shared
             late = max(x, y, key=lambda z: z.key)
-            # Windows of the region only: those that hold the anchor, from where both agree to where they do no longer.
-            yield (*late.key[:2], late.key[2] + late.anchor - before, before + shared - MIN + 1)
+            # Windows of the part only: those that hold the anchor, from where both agree to where they do no longer.
+            if before + after >= MIN:
+                yield (*late.key[:2], late.key[2] + late.anchor - before, before + after - MIN + 1)
+
+
+def matching(a: bytes, b: bytes) -> int:
+    """Length of the common start, byte by byte."""
+    return next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
 
 
 def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [x for rows in batch.column(0).to_pylist() for x in repeats(rows)]
         columns = list(zip(*found, strict=True)) or [()] * 4
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc", "h", "s", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc", "h", "s", "n"])
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
@@ -289,35 +380,43 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     # One shuffle and one sort serve both windows.
     each = Window.partitionBy("a").orderBy("r", "doc", "h", "loc").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     same = Window.partitionBy("a", "r").orderBy("doc", "h", "loc")
-    is_repeat = F.col("loc").bitwiseAND(F.lit(0xFF00)) == 0
+    is_repeat, is_hot = F.col("loc").bitwiseAND(F.lit(0xFF00)) == 0, F.col("loc") < 0
+    place = F.struct("doc", "h", "loc")
     seen = (
         rows.withColumn("lowest", F.first("r").over(each))
         .withColumn("highest", F.last("r").over(each))
-        .withColumn("c", F.count(F.lit(1)).over(each))
         .withColumn("rank", F.row_number().over(same))
+        .withColumn("later", F.first(place).over(same) != place)
     )
-    later = ~is_repeat & (F.col("rank") > 1)
-    mixed = ~is_repeat & (F.col("rank") == 1) & (F.col("lowest") != F.col("highest"))
-    kind = F.when(is_repeat, "repeat").when(later, "later").when(mixed, F.when(F.col("c") > CAP, "many").otherwise("few"))
-    held = stored(seen.select("a", "r", "doc", "h", "loc", kind.alias("kind")).where("kind is not null"), "regions")
-
-    def marked(kind: str) -> DataFrame:
-        marks = held.where(F.col("kind") == kind).groupBy("doc", "h").agg(F.collect_list(F.struct("a", "loc")).alias("marks"))
-        return texts.join(marks, ["doc", "h"])
-
-    n_windows = F.shiftright("loc", 8).bitwiseAND(F.lit(255))
-    whole = held.where("kind in ('repeat', 'later')").select(
-        "doc", "h", place_of().alias("s"), F.when(F.col("kind") == "repeat", F.col("r")).otherwise(n_windows).alias("n")
-    )
-    few = marked("few").select("doc", "h", "text", F.explode("marks").alias("m")).select("doc", "h", "m.a", "m.loc", "text")
-    region = F.substring("text", place_of().cast("int") + 1, (n_windows + (MIN - 1)).cast("int"))
-    groups = few.select("a", F.struct("doc", "h", "loc", region.alias("region")).alias("row")).groupBy("a").agg(F.collect_list("row").alias("rows"))
-    partly = groups.select("rows").mapInArrow(compared, "doc long, h int, s long, n long")
-    windows = marked("many").mapInArrow(windows_of, FOUND).withColumn("rank", F.row_number().over(same))
-    single = windows.where(is_repeat | (F.col("rank") > 1)).select(
-        "doc", "h", place_of().alias("s"), F.when(is_repeat, F.col("r")).otherwise(F.lit(1)).alias("n")
+    kind = (
+        F.when(is_hot, "mixed")
+        .when(is_repeat, "repeat")
+        .when(F.col("later"), "later")
+        .when((F.col("rank") == 1) & (F.col("lowest") != F.col("highest")), "mixed")
     )
-    return whole.unionByName(partly).unionByName(single)
+    held = seen.select("r", "doc", "h", F.when(is_hot, F.bitwise_not("loc")).otherwise(F.col("loc")).alias("loc"), kind.alias("kind"))
+    held = stored(held.where("kind is not null"), "regions")
+    n_windows = F.shiftright("loc", 8).bitwiseAND(F.lit(255))
+    whole = held.where("kind in ('repeat', 'later')")
+    spans = [whole.select("doc", "h", place_of().alias("s"), F.when(F.col("kind") == "repeat", F.col("r")).otherwise(n_windows).alias("n"))]
+    marks = held.where("kind = 'mixed'").groupBy("doc", "h").agg(F.collect_set("loc").alias("marks"))
+    parts = stored(texts.join(marks, ["doc", "h"]).select("doc", "h", "text", "marks").mapInArrow(cut_regions, PARTS), "parts-1")
+    for level in range(2, LEVELS + 2):
+        spans.append(parts.where("part is null").select("doc", "h", place_of().alias("s"), F.col("g").alias("n")))
+        parts = parts.where("part is not null")
+        sizes = stored(parts.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "part-sizes")
+        if level > LEVELS:  # single windows
+            firsts = parts.groupBy("g").agg(F.min(F.struct("doc", "h", "loc", "part")).alias("one"))
+            again = parts.join(firsts, "g").where((F.struct("doc", "h", "loc") != F.struct("one.doc", "one.h", "one.loc")) & (F.col("part") == F.col("one.part")))
+            spans.append(again.select("doc", "h", place_of().alias("s"), F.lit(1).cast("long").alias("n")))
+            break
+        few = parts.join(sizes.where(F.col("c") <= CAP), "g").groupBy("g").agg(F.collect_list(F.struct("doc", "h", "loc", "part")).alias("rows"))
+        spans.append(few.select("rows").mapInArrow(compared, SPANS))
+        large = sizes.where(F.col("c") > CAP).select("g")
+        if large.isEmpty():
+            break
+        parts = stored(parts.join(large, "g").select("doc", "h", "loc", "part").mapInArrow(cut_again(level), PARTS), f"parts-{level}")
+    return functools.reduce(DataFrame.unionByName, spans)
 
 
 def remove(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.RecordBatch]:

@@ -137,9 +137,9 @@ def plain_removal(found):
     return out
 
 
-@pytest.mark.parametrize(("cap", "block"), [(64, 1 << 20), (0, 1 << 20), (64, 700)])
+@pytest.mark.parametrize(("cap", "block"), [(64, 1 << 20), (1, 1 << 20), (64, 700)])
 def test_removal(spark, monkeypatch, cap, block):
-    """With anchors compared in a task, by windows in a shuffle, and with texts that fill several blocks."""
+    """With parts compared in a task, cut down to single windows, and with texts that fill several blocks."""
     monkeypatch.setattr(suffix_dedup, "CAP", cap)
     sizes = [len((r[1] or "").encode()) for r in rows()]
     if block < 1 << 20:
@@ -168,6 +168,38 @@ def test_texts_without_repeats(spark):
     assert {r["doc_id"]: r["text"] for r in out.collect()}[4] == rows()[4][1]
 
 
+def test_repeated_rows_count_once(spark):
+    """Rows that repeat a document in several partitions, alone and with parts that stand elsewhere too."""
+    a, b, c = prose(91, 120), prose(92, 120), prose(93, 120)
+    found = [(1, a), (2, b), (1, a), (3, c), (2, b), (1, a), (4, c[:300] + b[:300]), (4, c[:300] + b[:300])]
+    for parts in (1, 4, 8):
+        docs = spark.createDataFrame(found, "doc_id long, text string").repartition(parts)
+        done = suffix_dedup.without_repeats(docs).selectExpr("row.doc_id", "n_bytes", "n_removed", "n_spans", "sha2(kept, 256) as digest").collect()
+        want = plain_removal(found)
+        assert len(done) == len(found) and all(tuple(r)[1:] == want[r["doc_id"]] for r in done)
+
+
+@pytest.mark.parametrize(("cap", "tasks"), [(64, 6), (2, 6), (64, 1), (2, 1)])
+def test_passage_of_very_many_documents(spark, monkeypatch, cap, tasks):
+    """The ends of a passage with different surroundings share some windows each; one task may hold over CAP of them."""
+    monkeypatch.setattr(suffix_dedup, "CAP", cap)
+    passage = prose(94, 50)
+    found = [(k, prose(200 + k, 30 + k % 7) + passage[k % 5 :] + prose(500 + k, 25)) for k in range(150)]
+    docs = spark.createDataFrame(found, "doc_id long, text string").repartition(tasks)
+    done = suffix_dedup.without_repeats(docs).selectExpr("row.doc_id", "n_bytes", "n_removed", "n_spans", "sha2(kept, 256) as digest").collect()
+    want = plain_removal(found)
+    assert all(tuple(r)[1:] == want[r["doc_id"]] for r in done)
+
+
+def test_equal_hashes_of_different_strings_remove_nothing(monkeypatch):
+    monkeypatch.setattr(suffix_dedup.Side, "hash", lambda self, i, j: 0)
+    one, other = (bytes(rng) for rng in (range(100, 234), range(50, 184)))
+    rows = [{"doc": k, "h": 0, "loc": 34, "part": x} for k, x in enumerate((one, other))]
+    assert not list(suffix_dedup.repeats(rows))
+    rows.append({"doc": 2, "h": 0, "loc": 34, "part": one})
+    assert (2, 0, 0, 35) in list(suffix_dedup.repeats(rows))
+
+
 def test_random_texts_of_few_letters(spark):
     rng = np.random.default_rng(3)
     pool = ["".join(rng.choice(list("ab"), 130)) for _ in range(4)] + ["".join(rng.choice(list("abcdef"), 90)) for _ in range(4)]
