@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -13,22 +14,36 @@ SPACE = r"[\x09-\x0D ]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
+#: Bytes in an Arrow batch, about. Texts are long, and a task and its worker hold several batches at once.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, unless the session has a bound of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; /tmp/checkpoints where the session names none (tests)."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    """The folder that driver and executors share, as spark.checkpoint.dir or the context names it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = "/tmp/checkpoints"
-        sc.setCheckpointDir(folder)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")  # one process: every folder is shared
+        spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written once as Parquet to the shared folder and read again: cuts the lineage, survives lost executors."""
+    small_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -37,7 +37,7 @@ class Hashes(dict):
     """The hashes of the words in what stands between white space, in 4 bytes each; words never hold white space."""
 
     def __missing__(self, part: str) -> bytes:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[part] = np.array([zlib.crc32(w.encode()) for w in WORD.findall(part)], np.uint32).tobytes()
         return value

@@ -31,7 +31,7 @@ LONGEST, PIECE, FLOOR = 30, 12, 1e-8
 PER_LANGUAGE = 1500
 ROUNDS = 3
 #: Words remembered in a worker before it starts afresh.
-MEMO = 600_000
+MEMO = 200_000
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 2**64)
 

@@ -1,8 +1,9 @@
 """Exact token ids of the lower-casing word BPE (word_bpe_49k.json), faster than encoding every text whole.
 
 The tokenizer splits a text into pre-tokens (words, digits, runs of symbols) and merges inside each one alone. So ids
-are looked up a pre-token at a time: first in a table of the vocabulary strings that are proven, when the table is
-made, to encode alone as one token; then among pre-tokens met before; only the rest goes through the merges.
+can be put together from those of pre-tokens: a table holds the vocabulary strings that are proven, when the table is
+made, to encode alone as one token; only other pre-tokens go through the merges. No pre-token holds white space, so what
+stands between white space is looked up at once, and only what is new there is cut into pre-tokens.
 
 The shortcut holds for texts of characters on which this module and the library provably agree (SAFE, tested character
 by character); any other text, and any that holds a special token's string, goes to the library whole.
@@ -14,6 +15,8 @@ import os
 import re
 
 import numpy as np
+from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -22,8 +25,11 @@ SAFE = re.compile(r"[\t-\r\x20-\x7e¡«°»¿À-ÖØ-öø-ÿ–—‘’“”
 SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
 #: The tokenizer's own pre-token pattern, for SAFE characters in lower case.
 PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-#: Pre-tokens remembered in a worker before it starts afresh.
-MEMO = 1_000_000
+#: Strings between white space that a worker remembers before it starts afresh; longer ones are not remembered.
+MEMO, LONGEST = 300_000, 64
+
+#: Spells a pre-token's bytes in the characters of the vocabulary; ASCII is spelt as it is.
+BYTES = ByteLevel(add_prefix_space=False, use_regex=False)
 
 _coders: dict[str, WordBpe] = {}
 
@@ -41,13 +47,28 @@ def coder(path: str) -> WordBpe:
     return _coders[path]
 
 
+class Memo(dict):
+    """The ids of strings without white space; new ones are worked out when they are looked up."""
+
+    def __init__(self, bpe: WordBpe):
+        super().__init__(bpe.single)
+        self.bpe = bpe
+
+    def __missing__(self, chunk: str) -> bytes:
+        found = self.bpe.chunk_ids(chunk)
+        if len(chunk) <= LONGEST:
+            if len(self) > MEMO + len(self.bpe.single):
+                self.clear()
+                self.update(self.bpe.single)
+            self[chunk] = found
+        return found
+
+
 class WordBpe:
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         self.whole = Tokenizer.from_file(path)
         self.single = self.prove_single()
-        self.memo: dict[str, bytes] = dict(self.single)
+        self.memo = Memo(self)
 
     def prove_single(self) -> dict[str, bytes]:
         """Vocabulary strings that are one pre-token and encode alone as one token, with its id in 4 bytes."""
@@ -61,40 +82,30 @@ class WordBpe:
                     found[s] = np.array(e.ids, "<u4").tobytes()
         return found
 
-    def pretokens(self, text: str) -> list[str] | None:
-        """The text's pre-tokens; None if only the library can tell."""
+    def chunks(self, text: str) -> list[str] | None:
+        """What stands between white space, in lower case; None if only the library can tell."""
         if SAFE.fullmatch(text) and not ("<|" in text and SPECIAL.search(text)):
-            return PRETOKEN.findall(text.lower())
+            return text.lower().split()
         return None
 
-    def learn(self, pretokens) -> None:
-        """Remember the ids of all these pre-tokens."""
-        new = list(set(pretokens).difference(self.memo))
-        if len(self.memo) + len(new) > MEMO + len(self.single):
-            self.memo = dict(self.single)
-            new = list(set(pretokens).difference(self.memo))
-        for at in range(0, len(new), 512):
-            part = new[at : at + 512]
-            found = self.whole.encode(" ".join(part), add_special_tokens=False)  # each is a pre-token here too
-            ids = np.array(found.ids, "<u4").tobytes()
-            starts = np.flatnonzero(np.diff(np.array(found.word_ids), prepend=-1)).tolist()
-            if len(starts) != len(part):
-                raise ValueError("a pre-token was split")
-            for s, i, j in zip(part, starts, [*starts[1:], len(found.ids)], strict=True):
-                self.memo[s] = ids[4 * i : 4 * j]
+    def merged(self, pretoken: str) -> bytes:
+        """The ids that the library's merges give a pre-token."""
+        spelt = pretoken if pretoken.isascii() else BYTES.pre_tokenize_str(pretoken)[0][0]
+        return np.array([t.id for t in self.whole.model.tokenize(spelt)], "<u4").tobytes()
+
+    def chunk_ids(self, chunk: str) -> bytes:
+        """The ids of a string without white space."""
+        single = self.single
+        return b"".join([single[p] if p in single else self.merged(p) for p in PRETOKEN.findall(chunk)])
 
     def ids(self, text: str | None) -> bytes:
         """The text's ids as little-endian unsigned 32-bit numbers."""
         if not text:
             return b""
-        parts = self.pretokens(text)
+        parts = self.chunks(text)
         if parts is None:
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        try:
-            return b"".join(map(self.memo.__getitem__, parts))
-        except KeyError:
-            self.learn(parts)
-            return b"".join(map(self.memo.__getitem__, parts))
+        return b"".join(map(self.memo.__getitem__, parts))
 
     def count(self, text: str | None) -> int:
         """The number of the text's ids."""
