@@ -70,61 +70,111 @@ def test_base_scores(spark):
 
 
 def small_model(steps=60):
+    """Of 51 ids, the last one the end; each third text has only small ids."""
     rng = np.random.default_rng(0)
     sample = [np.append(rng.integers(0, 40, 90) // (1 + k % 3), 50) for k in range(30)]
-    counts = np.bincount(np.concatenate(sample), minlength=51).astype(float)
-    return attention_lm.train(counts, sample, steps=steps), sample
+    near = np.zeros((51, 2 * attention_lm.NEAR))
+    for x in sample:
+        before = np.append(50, x[:-1])
+        np.add.at(near, (x, attention_lm.mixed(before)), 1)
+        np.add.at(near, (before, attention_lm.NEAR + attention_lm.mixed(x)), 1)
+    model = attention_lm.prepared(near, np.arange(51) % 2 == 0)
+    adam = attention_lm.Adam(model.weights)
+    for turn in range(steps // 6):
+        attention_lm.learn(model, adam, sample, turn, 1)
+    return model, sample
+
+
+def plain_score(model, text):
+    """log10 probability of ids, token by token, from formulas."""
+    w, total = {k: x.astype(float) for k, x in model.weights.items()}, 0.0
+    before = [model.end] * (attention_lm.WIDTH + 1)
+    for k, token in enumerate(text):
+        seen = (before + list(text))[k + 1 : k + len(before)]
+        seen = seen[attention_lm.STEP - 1 - k % attention_lm.STEP :]  # a window starts at a multiple of STEP
+        x = w["embed"][model.row[seen]]
+        q = x[-1] @ w["query"] / math.sqrt(attention_lm.SIZE)
+        bends = np.exp(np.clip(x @ w["key"] @ q, -30, 30) + w["distance"][np.arange(len(seen))[::-1]])
+        y = x[-1] + bends / bends.sum() @ (x @ w["value"])
+        logits = np.append(y, np.maximum(y @ w["up"] + w["up0"], 0)) @ w["head"]
+        cell, last = model.cell[token], model.cell[seen[-1]]
+        group = cell // attention_lm.BINS
+        for part, at in ((logits[: attention_lm.GROUPS] + model.by_group[last], group), (logits[attention_lm.GROUPS :] + model.by_bin[last, group], cell % attention_lm.BINS)):
+            part = np.clip(part, attention_lm.NEVER, 30)
+            total += (part[at] - np.log(np.exp(part).sum())) / math.log(10)
+        total += model.share[token]
+    return total
+
+
+def test_scores_are_those_of_each_token():
+    model, sample = small_model()
+    texts = [sample[0][:n] for n in (1, 15, 16, 17, 31, 32, 33, 90)] + sample[:5]
+    want = [plain_score(model, x) for x in texts]
+    assert attention_lm.scores(model, texts) == pytest.approx(want, rel=1e-4)
+    assert attention_lm.scores(model, texts, 2) == pytest.approx(want, rel=1e-4)
 
 
-def test_weights_come_from_all_training_documents(spark):
-    """Every window of every training text counts once, and what only other texts than the sample hold is learned."""
+def test_model_comes_from_all_training_documents(spark, monkeypatch):
+    """Counts over all texts, in tasks; windows of all texts; and what is learned makes other texts more likely."""
     path = tokens.tokenizer_path()
-    texts = [r[1] or "" for r in rows() if not held_out(r[0])]
-    ids = [np.append(np.frombuffer(tokens.coder(path).ids(t), "<u4").astype(np.int64), 0) for t in texts]
     end = tokens.coder(path).whole.get_vocab_size()
-    ids = [np.append(x[:-1], end) for x in ids]
-    counts = np.bincount(np.concatenate(ids), minlength=end + 1).astype(float)
-    first = attention_lm.train(counts, ids[:3], steps=20)
-    df = spark.createDataFrame([(t, True) for t in texts] + [("held out", False)], "text string, train boolean").repartition(3)
-    found = [tuple(r) for r in attention_lm.learned(df, spark.sparkContext.broadcast(first), path).collect()]
-    assert sum(n for n, _ in found) == len(attention_lm.windows(ids, end)[0])
-    model = attention_lm.average(first, found)
-    assert attention_lm.scores(model, ids[3:]).sum() > attention_lm.scores(first, ids[3:]).sum()
+    texts = [prose(k, 300) for k in range(60)]
+    ids = [np.append(np.frombuffer(tokens.coder(path).ids(t), "<u4"), end).astype("<u2") for t in texts]
+    df = spark.createDataFrame([(x.tobytes(),) for x in ids[10:]], "ids binary").repartition(3)
+    near = attention_lm.neighbours(df, end)
+    assert near[:, : attention_lm.NEAR].sum(axis=1).tolist() == np.bincount(np.concatenate(ids[10:]), minlength=end + 1).tolist()
+    model = attention_lm.prepared(near, np.zeros(end + 1, bool))
+    send = spark.sparkContext.broadcast
+    after = attention_lm.ordered(df, send(model), "<u2")
+    want = collections.Counter((int(model.cell[a]), int(model.cell[b])) for x in ids[10:] for a, b in zip([end, *x.tolist()], x.tolist()))
+    cells = after.reshape(after.shape[0], -1)
+    assert {(a, b): cells[a, b] for a, b in zip(*np.nonzero(cells))} == want
+    mass = np.bincount(model.cell, near[:, : attention_lm.NEAR].sum(axis=1) + 0.5, after.shape[0])
+    known = attention_lm.with_order(model, mass, after)
+    n, weights = attention_lm.learned(df, send(known), "<u2", 0, 1)
+    assert n == sum(-(-len(x) // attention_lm.STEP) for x in ids[10:])
+    each = [attention_lm.learned(df, send(known), "<u2", turn, 4)[0] for turn in range(4)]
+    assert sum(each) == n and min(each) > n / 5
+    first, second, third = (attention_lm.scores(m, ids[:10]).sum() for m in (model, known, attention_lm.replace(known, weights=weights)))
+    assert first < second < third
 
 
 def test_gradients_are_the_slopes():
-    model, sample = small_model(0)
-    w = {k: v.astype(np.float64) for k, v in model.weights.items()}
-    inputs, targets, fresh, _ = attention_lm.windows(sample[:3], 50)
-    args = (model.row[inputs], model.cls[targets], fresh.astype(float))
-    _, g = attention_lm.gradients(w, *args)
-    for name in w:
-        at = np.unravel_index(int(np.abs(g[name]).argmax()), w[name].shape)
+    model, sample = small_model(12)
+    model.weights["head"] += 0.05
+    model = attention_lm.replace(model, weights={k: v.astype(np.float64) for k, v in model.weights.items()})
+    stream = attention_lm.Stream(sample[:3], 50)
+    args = stream.windows(np.flatnonzero(stream.nth))
+    _, g = attention_lm.gradients(model, *args)
+    for name, w in model.weights.items():
+        at = np.unravel_index(int(np.abs(g[name]).argmax()), w.shape)
         moved = []
         for step in (1e-4, -1e-4):
-            w[name][at] += step
-            moved.append(attention_lm.gradients(w, *args)[0])
-            w[name][at] -= step
+            w[at] += step
+            moved.append(attention_lm.gradients(model, *args)[0])
+            w[at] -= step
         assert g[name][at] == pytest.approx((moved[0] - moved[1]) / 2e-4, rel=0.02, abs=1e-5), name
 
 
 def test_probabilities_add_up_and_each_token_counts_once():
-    model, sample = small_model()
-    total = sum(10 ** attention_lm.scores(model, [np.array([k])])[0] for k in range(51))
-    assert total == pytest.approx(1, rel=1e-3)
-    for size in (1, 31, 32, 33, 60, 61, 200):
-        text = [np.arange(size) % 51]
-        _, targets, fresh, _ = attention_lm.windows(text, 50)
-        assert targets[fresh].tolist() == text[0].tolist()
+    model, _ = small_model()
+    for before in ([], [3, 7], list(range(40))):
+        rest = attention_lm.scores(model, [np.array(before)])[0] if before else 0.0
+        total = sum(10 ** (attention_lm.scores(model, [np.array([*before, k])])[0] - rest) for k in range(51))
+        assert total == pytest.approx(1, rel=1e-3)
+    for size in (1, 15, 16, 17, 31, 32, 33, 200):
+        stream = attention_lm.Stream([np.arange(size) % 50, np.arange(3)], 50)
+        inputs, targets, counts = stream.windows(np.flatnonzero(stream.nth))
+        assert set(inputs[0, : attention_lm.STEP + 1].tolist()) == {50}
+        assert targets[counts].tolist() == [k % 50 for k in range(size)] + [0, 1, 2]
 
 
 def test_no_token_sees_later_ones():
     model, _ = small_model()
-    row = model.row[np.arange(32)[None, :]]
-    other = row.copy()
-    other[0, 20:] = model.row[3]
-    a, b = (attention_lm.attend(model.weights, x)["z"] for x in (row, other))
-    assert np.allclose(a[0, :20], b[0, :20], atol=1e-5) and not np.allclose(a[0, 20:], b[0, 20:])
+    text = np.arange(40) % 7
+    other = np.append(text[:20], (text[20:] + 3) % 7)
+    parts = [[attention_lm.scores(model, [x[: k + 1]])[0] for k in range(len(x))] for x in (text, other)]
+    assert np.allclose(parts[0][:20], parts[1][:20], rtol=1e-5) and not np.allclose(parts[0][21:], parts[1][21:])
 
 
 PAGE = """<!DOCTYPE html><html><head><title>Not <p>this</title><style>p{}</style><script>var t="</p>";</script></head><body class=x>
