@@ -1,18 +1,21 @@
 """Benchmark decontamination: latent semantic retrieval of passages, then word-order and answer checks.
 
-Passages are pairs of neighbouring blocks of BLOCK words. Their TF-IDF vectors, over hashed words, meet in a randomised SVD:
-each task adds up random combinations of its passages' vectors; the sums over all tasks span nearly the space of the
-largest singular vectors, and their own singular vectors are the latent space. Passages and benchmark items whose cosine
-there is high enough, and that share enough of their TF-IDF weight, are candidates. The longest common
+Passages are pairs of neighbouring blocks of BLOCK words; benchmark items are cut into passages too. Their TF-IDF vectors,
+over hashed words, meet in a randomised SVD: each task adds up random combinations of its passages' vectors, and the sums
+over all tasks span nearly the space of the largest singular vectors. All passages are then projected into that space, and
+the singular vectors of the projections, from sums over all tasks again, are the latent space. Passages of documents and
+items whose cosine there is high enough, and that share enough of their TF-IDF weight, are candidates. The longest common
 subsequence of words decides, together with the item's answer (its rarest words) where the wording was changed.
 
 Words are runs of word characters, lower-cased, compared by 32-bit hashes. All documents count for the statistics and are
 searched. Null and empty texts and items match nothing; an empty table or benchmark gives an empty result. Rows that repeat
-a document give their pairs once. Extra columns are not read.
+a document give their pairs once, and so do items that repeat an id; an item without an id has a null one. Extra columns
+are not read.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -25,21 +28,22 @@ from pyspark.sql import functions as F
 from bazaarlake.llm.common import read, stored
 
 WORD = re.compile(r"\w+")
-BLOCK, FEATURES, RANK, SPARE = 16, 4096, 48, 8
+BLOCK, FEATURES, RANK, SPARE, SKETCH = 16, 4096, 48, 16, 256
 #: Least cosine in the latent space and share of weight of a candidate; least share of an item in order to be a leak, alone
 #: and with its answer found.
-COSINE, SHARED, ORDER, ORDER_WITH_ANSWER = 0.45, 0.45, 0.75, 0.55
-#: Words of an answer; items that are searched for in one pass.
-ANSWER, ITEMS = 5, 2000
+COSINE, SHARED, ORDER, ORDER_WITH_ANSWER = 0.55, 0.45, 0.75, 0.55
+#: Words of an answer; items, and about how many characters of theirs, that are searched for in one pass.
+ANSWER, ITEMS, CHARS = 5, 2000, 2_000_000
 
 
 class Hashes(dict):
     """The hashes of the words in what stands between white space, in 4 bytes each; words never hold white space."""
 
     def __missing__(self, part: str) -> bytes:
-        if len(self) > 200_000:
+        if len(self) > 300_000:
             self.clear()
-        value = self[part] = np.array([zlib.crc32(w.encode()) for w in WORD.findall(part)], np.uint32).tobytes()
+        words = (part,) if part.isalpha() else WORD.findall(part)
+        value = self[part] = b"".join([zlib.crc32(w.encode()).to_bytes(4, "little") for w in words])
         return value
 
 
@@ -47,7 +51,7 @@ _hashes = Hashes()
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    return np.frombuffer(b"".join(map(_hashes.__getitem__, (text or "").lower().split())), np.uint32)
+    return np.frombuffer(b"".join(map(_hashes.__getitem__, (text or "").lower().split())), "<u4")
 
 
 def list_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,7 +63,7 @@ def list_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def grid(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Features of all blocks (FEATURES where a block ends early), and each block's text."""
-    per = np.array([-(-len(w) // BLOCK) for w in words])
+    per = np.array([-(-len(w) // BLOCK) for w in words], np.int64)
     padded = [np.full(n * BLOCK, FEATURES, np.int64) for n in per]
     for row, w in zip(padded, words, strict=True):
         row[: len(w)] = w % FEATURES
@@ -96,22 +100,31 @@ def chunks(batches: Iterator[pa.RecordBatch], size: int = 60_000) -> Iterator[tu
         yield ids, hashes, words
 
 
-def summed(rows: DataFrame, function, width: int) -> np.ndarray:
-    """The sum over all tasks of function(chunks): a matrix of FEATURES rows and a fixed number of columns."""
+def summed(rows: DataFrame, function, shape: tuple[int, int]) -> np.ndarray:
+    """The sum over all tasks of function(features of passages), a matrix of a fixed shape."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((FEATURES, width))
+        total = np.zeros(shape)
         for _, _, words in chunks(batches):
             total += function(passages(words)[0])
+        yield from lines(total)
+
+    def lines(total: np.ndarray) -> Iterator[pa.RecordBatch]:
         used = np.flatnonzero(total.any(axis=1))
-        columns = [pa.array(used), *(pa.array(total[used, k]) for k in range(width))]
-        yield pa.RecordBatch.from_arrays(columns, ["f", *(f"y{k}" for k in range(width))])
-
-    names = [f"y{k}" for k in range(width)]
-    parts = rows.mapInArrow(add, "f long, " + ", ".join(f"{n} double" for n in names))
-    out = np.zeros((FEATURES, width))
-    for row in parts.groupBy("f").agg(*(F.sum(n) for n in names)).collect():  # FEATURES rows at most
-        out[row[0]] = row[1:]
+        data = [x.tobytes() for x in total[used].astype("<f4")]
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(data, pa.binary())], ["f", "y"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape)
+        for batch in batches:
+            for f, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                total[f] += np.frombuffer(data, "<f4")
+        yield from lines(total)
+
+    schema = "f long, y binary"
+    out = np.zeros(shape)
+    for f, data in rows.mapInArrow(add, schema).repartition("f").mapInArrow(merge, schema).collect():  # a row for each of shape
+        out[f] += np.frombuffer(data, "<f4")
     return out
 
 
@@ -125,14 +138,6 @@ def weigh(cells: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return values / np.maximum(np.sqrt((values * values).sum(axis=1, keepdims=True)), 1e-6)
 
 
-def by_feature(cells: np.ndarray, values: np.ndarray, combined: np.ndarray) -> np.ndarray:
-    """The transposed passages times combined (a row for each passage)."""
-    flat, out = cells.reshape(-1), np.zeros((FEATURES, combined.shape[1]))
-    for k in range(combined.shape[1]):
-        out[:, k] = np.bincount(flat, (values * combined[:, k : k + 1]).reshape(-1), FEATURES + 1)[:FEATURES]
-    return out
-
-
 def project(cells: np.ndarray, values: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """Passages times basis, whose last row is 0."""
     out = np.zeros((len(cells), basis.shape[1]), np.float32)
@@ -142,20 +147,37 @@ def project(cells: np.ndarray, values: np.ndarray, basis: np.ndarray) -> np.ndar
 
 
 def latent_space(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The weight of each feature, and an orthonormal basis of the largest singular vectors, by a randomised SVD."""
-    df = summed(rows, count_by_feature, 1)[:, 0]
+    """The weight of each feature, and the largest right singular vectors of the passages, by a randomised SVD."""
+    df = summed(rows, count_by_feature, (FEATURES, 1))[:, 0]
     weight = np.append(np.log((1 + df.max()) / (1 + df)) + 0.1, 0).astype(np.float32)
     width = RANK + SPARE
+    sketch = summed(rows, lambda cells: combined(cells, weigh(cells, weight), SKETCH), (FEATURES, SKETCH))
+    basis = padded(np.linalg.svd(sketch, full_matrices=False)[0][:, :width])
+
+    def gram(cells: np.ndarray) -> np.ndarray:
+        projected = project(cells, weigh(cells, weight), basis)
+        return projected.T @ projected
+
+    vectors = np.linalg.eigh(summed(rows, gram, (width, width)))[1][:, ::-1][:, :RANK]  # the right singular ones of the projections
+    return weight, padded(basis[:-1] @ vectors)
+
+
+def padded(basis: np.ndarray) -> np.ndarray:
+    """With a row of zeros, for no feature."""
+    return np.vstack([basis, np.zeros((1, basis.shape[1]))]).astype(np.float32)
+
 
-    def sketch(cells: np.ndarray) -> np.ndarray:
-        values = weigh(cells, weight)
-        # Signs that depend on the passage alone, so that a task that runs again adds the same.
-        seeds = (cells.astype(np.uint64) * np.arange(1, cells.shape[1] + 1, dtype=np.uint64)).sum(axis=1)
-        bits = (seeds[:, None] + np.uint64(1)) * (np.arange(width, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1))
-        return by_feature(cells, values, np.where(bits >> np.uint64(40) & np.uint64(1), 1.0, -1.0))
+def combined(cells: np.ndarray, values: np.ndarray, width: int) -> np.ndarray:
+    """The passages times a sparse random matrix: each is added to, or taken from, one of width sums.
 
-    basis = np.linalg.svd(summed(rows, sketch, width), full_matrices=False)[0][:, :RANK]
-    return weight, np.vstack([basis, np.zeros((1, basis.shape[1]))]).astype(np.float32)
+    Which one depends on the passage alone, so that a task that runs again adds the same.
+    """
+    seeds = (cells.astype(np.uint64) * np.arange(1, cells.shape[1] + 1, dtype=np.uint64)).sum(axis=1)
+    seeds = (seeds + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)
+    column, sign = (seeds >> np.uint64(1)) % np.uint64(width), np.where(seeds & np.uint64(1), 1.0, -1.0)
+    at = cells * width + column.astype(np.int64)[:, None]
+    size = FEATURES * width
+    return np.bincount(np.minimum(at, size).reshape(-1), (values * sign[:, None]).reshape(-1), size + 1)[:size].reshape(FEATURES, width)
 
 
 def common_order(item: list[int], words: list[int]) -> int:
@@ -175,48 +197,49 @@ def common_order(item: list[int], words: list[int]) -> int:
 class Searcher:
     """A block of benchmark items, ready to be compared with passages."""
 
-    def __init__(self, items: list[tuple[int, str]], weight: np.ndarray, basis: np.ndarray):
+    def __init__(self, items: list[tuple[int | None, str]], weight: np.ndarray, basis: np.ndarray):
         found = [(k, word_hashes(t)) for k, t in items]
         self.items = [(k, w) for k, w in found if len(w)]
         self.weight, self.basis = weight, basis
-        vectors, masks = [], []
-        for _, w in self.items:
-            cells = np.unique(w % FEATURES)[None, :].astype(np.int64)
-            vector = project(cells, weigh(cells, weight), basis)[0]
-            vectors.append(vector / max(np.linalg.norm(vector), 1e-9))
-            mask = np.zeros(FEATURES + 1, bool)
-            mask[cells[0]] = True
-            masks.append(mask)
-        self.vectors = np.array(vectors, np.float32).reshape(-1, basis.shape[1])
-        self.masks, self.mass = masks, [float(weight[:-1][m[:-1]].sum()) for m in masks]
-
-    def find(self, words: list[np.ndarray]) -> Iterator[tuple[int, int, float, float, bool]]:
+        self.lists = [w.tolist() for _, w in self.items]
+        self.rare = [set(sorted(set(w), key=lambda x: (-weight[x % FEATURES], x))[:ANSWER]) for w in self.lists]
+        cells, self.owner, first = passages([w for _, w in self.items])
+        # The end of an item that the passage before holds too is no passage of its own.
+        whole = (first == 0) | ((cells < FEATURES).sum(axis=1) >= BLOCK) if len(cells) else np.zeros(0, bool)
+        cells, self.owner = cells[whole], self.owner[whole]
+        self.vectors = self.latent(cells)
+        self.masks = np.zeros((len(cells), FEATURES + 1), bool)
+        self.masks[np.arange(len(cells))[:, None], cells] = True
+        self.masks[:, FEATURES] = False
+        self.mass = weight[cells].sum(axis=1)
+
+    def latent(self, cells: np.ndarray) -> np.ndarray:
+        vectors = project(cells, weigh(cells, self.weight), self.basis)
+        return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+
+    def find(self, words: list[np.ndarray]) -> Iterator[tuple[int, int | None, float, float, bool]]:
         """(text, item_id, cosine, share in order, answer found) of each leak: the best of a text and item."""
         cells, text, first = passages(words)
         if not len(cells) or not self.items:
             return
-        latent = project(cells, weigh(cells, self.weight), self.basis)
-        latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
         weights = self.weight[cells]
         own = weights.sum(axis=1)
         best: dict[tuple[int, int], tuple] = {}
-        cosines = self.vectors @ latent.T
-        for k, (key, item) in enumerate(self.items):
-            near = np.flatnonzero(cosines[k] >= COSINE)
-            if not len(near):
-                continue
-            shared = (weights[near] * self.masks[k][cells[near]]).sum(axis=1)
-            near = near[shared >= SHARED * np.minimum(own[near], self.mass[k])]
-            for p in near.tolist():
-                t, at = int(text[p]), int(first[p]) * BLOCK
-                part = words[t][max(0, at - len(item)) : at + 2 * BLOCK + len(item)].tolist()
-                order = common_order(item.tolist(), part) / len(item)
-                rare = sorted(set(item.tolist()), key=lambda w: (-self.weight[w % FEATURES], w))[:ANSWER]
-                answered = len(set(rare).intersection(part)) * 2 > len(rare)
-                if order >= ORDER or (answered and order >= ORDER_WITH_ANSWER):
-                    best[t, key] = max(best.get((t, key), (0.0,)), (order, float(cosines[k, p]), answered))
-        for (t, key), (order, cosine, answered) in best.items():
-            yield t, key, cosine, order, answered
+        cosines = self.vectors @ self.latent(cells).T
+        parts, near = np.nonzero(cosines >= COSINE)
+        shared = (weights[near] * self.masks[parts[:, None], cells[near]]).sum(axis=1)
+        keep = shared >= SHARED * np.minimum(own[near], self.mass[parts])
+        for k, p in zip(parts[keep].tolist(), near[keep].tolist(), strict=True):
+            item, t, at = int(self.owner[k]), int(text[p]), int(first[p]) * BLOCK
+            wanted = self.lists[item]
+            part = words[t][max(0, at - len(wanted)) : at + 2 * BLOCK + len(wanted)].tolist()
+            order = common_order(wanted, part) / len(wanted)
+            rare = self.rare[item]
+            answered = len(rare.intersection(part)) * 2 > len(rare)
+            if order >= ORDER or (answered and order >= ORDER_WITH_ANSWER):
+                best[t, item] = max(best.get((t, item), (0.0,)), (order, float(cosines[k, p]), answered))
+        for (t, item), (order, cosine, answered) in best.items():
+            yield t, self.items[item][0], cosine, order, answered
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
@@ -225,13 +248,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
     rows = stored(narrow.mapInArrow(list_hashes, "doc_id long, h long, words binary"), "word-hashes")
     schema = "doc_id long, h long, item_id long, cosine double, in_order double, answer_found boolean"
-    found = docs.sparkSession.createDataFrame([], schema)
+    found: list[DataFrame] = []
     items = benchmark.select(F.col(item_col).cast("long"), F.col("text")).where(F.col("text").isNotNull())
-    block: list[tuple[int, str]] = []
     weight, basis = latent_space(rows)
 
-    def search(block: list[tuple[int, str]]) -> DataFrame:
-        sent = docs.sparkSession.sparkContext.broadcast((block, weight, basis))  # ITEMS items at most
+    def search(block: list[tuple[int | None, str]]) -> DataFrame:
+        sent = docs.sparkSession.sparkContext.broadcast((block, weight, basis))  # bounded by ITEMS and CHARS
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             searcher = Searcher(*sent.value)
@@ -242,13 +264,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
 
         return rows.mapInArrow(run, schema)
 
+    block: list[tuple[int | None, str]] = []
+    size = 0
     for item in items.toLocalIterator():  # the query set, a block at a time
         block.append(tuple(item))
-        if len(block) == ITEMS:
-            found, block = found.union(search(block)), []
-    if block:
-        found = found.union(search(block))
-    return found.dropDuplicates(["doc_id", "h", "item_id"])
+        size += len(item[1])
+        if len(block) == ITEMS or size >= CHARS:
+            found.append(search(block))
+            block, size = [], 0
+    if block or not found:
+        found.append(search(block))
+    return functools.reduce(DataFrame.union, found).dropDuplicates(["doc_id", "h", "item_id"])
 
 
 OUT = pa.schema(

@@ -34,6 +34,57 @@ def test_leaks(spark):
     assert decontaminate.leaks(table.limit(0), benchmark).count() == 0
 
 
+def test_recall_of_reworded_items(spark):
+    """Items of 12 to 60 words with words left out, changed and put in, at any place; against all places of all texts."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randrange(1, 4))) for _ in range(3000)]
+
+    def text(n):
+        return [vocabulary[int(len(vocabulary) * rng.random() ** 3)] for _ in range(n)]
+
+    items = [(k, text(rng.randrange(12, 60))) for k in range(40)]
+    docs = []
+    for k in range(240):
+        words = text(rng.randrange(60, 400))
+        if k % 2:
+            item, share = list(items[rng.randrange(40)][1]), rng.choice([0, 0.05, 0.1, 0.2])
+            for _ in range(int(share * len(item))):
+                at = rng.randrange(len(item))
+                item[at : at + rng.randrange(2)] = text(rng.randrange(2))
+            at = rng.randrange(len(words))
+            words[at:at] = item
+        docs.append((k, words))
+
+    def holds(words, item):
+        least, wanted = decontaminate.ORDER * len(item), set(item)
+        for at in range(0, len(words), 4):
+            part = words[at : at + len(item) + 12]
+            if len(wanted.intersection(part)) >= 0.5 * len(wanted) and decontaminate.common_order(item, part) >= least:
+                return True
+        return False
+
+    want = {(d, i) for d, words in docs for i, item in items if holds(words, item)}
+    frame = spark.createDataFrame([(k, " ".join(w)) for k, w in docs], "doc_id long, text string").repartition(3)
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(frame, benchmark).where("in_order >= 0.75").collect()}
+    assert len(want) > 80 and len(found & want) >= 0.95 * len(want) and len(found - want) <= 0.05 * len(want)
+
+
+def test_singular_vectors_span_those_of_numpy(spark):
+    """Of passages about 12 subjects, the 12 largest vectors hold nearly as much as the 12 best ones."""
+    rng = random.Random(9)
+    topics = [[f"w{k}x{j}" for j in range(40)] for k in range(12)]
+    docs = [(k, " ".join(rng.choice(topics[k % 12]) for _ in range(60))) for k in range(200)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("doc_id", "doc_id as h", "text")
+    weight, basis = decontaminate.latent_space(rows.mapInArrow(decontaminate.list_hashes, "doc_id long, h long, words binary"))
+    cells = decontaminate.passages([decontaminate.word_hashes(t) for _, t in docs])[0]
+    values = decontaminate.weigh(cells, weight)
+    plain = np.zeros((len(cells), decontaminate.FEATURES + 1))
+    np.add.at(plain, (np.arange(len(cells))[:, None], cells), values)
+    best = (np.linalg.svd(plain[:, :-1], compute_uv=False)[:12] ** 2).sum()
+    assert ((plain @ basis[:, :12]) ** 2).sum() >= 0.95 * best and np.allclose(basis.T @ basis, np.eye(decontaminate.RANK), atol=1e-4)
+
+
 def test_common_order():
     def plain(a, b):
         best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
