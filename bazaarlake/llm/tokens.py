@@ -26,10 +26,10 @@ SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
 #: The tokenizer's own pre-token pattern, for SAFE characters in lower case.
 PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 #: Strings between white space that a worker remembers before it starts afresh; longer ones are not remembered.
-MEMO, LONGEST = 300_000, 64
+MEMO, LONGEST = 250_000, 64
 
-#: Spells a pre-token's bytes in the characters of the vocabulary; ASCII is spelt as it is.
-BYTES = ByteLevel(add_prefix_space=False, use_regex=False)
+#: Other SAFE characters than ASCII, spelt as the vocabulary spells their bytes.
+SPELT = {k: ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(k))[0][0] for k in range(128, 0x2100) if SAFE.fullmatch(chr(k))}
 
 _coders: dict[str, WordBpe] = {}
 
@@ -67,6 +67,7 @@ class Memo(dict):
 class WordBpe:
     def __init__(self, path: str):
         self.whole = Tokenizer.from_file(path)
+        self.merge = self.whole.model.tokenize
         self.single = self.prove_single()
         self.memo = Memo(self)
 
@@ -90,12 +91,14 @@ class WordBpe:
 
     def merged(self, pretoken: str) -> bytes:
         """The ids that the library's merges give a pre-token."""
-        spelt = pretoken if pretoken.isascii() else BYTES.pre_tokenize_str(pretoken)[0][0]
-        return np.array([t.id for t in self.whole.model.tokenize(spelt)], "<u4").tobytes()
+        spelt = pretoken if pretoken.isascii() else pretoken.translate(SPELT)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.merge(spelt)])
 
     def chunk_ids(self, chunk: str) -> bytes:
         """The ids of a string without white space."""
         single = self.single
+        if chunk.isalpha():  # one pre-token
+            return single[chunk] if chunk in single else self.merged(chunk)
         return b"".join([single[p] if p in single else self.merged(p) for p in PRETOKEN.findall(chunk)])
 
     def ids(self, text: str | None) -> bytes:
