@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -250,6 +251,38 @@ def test_main_text(spark):
     assert html_text.main_texts(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ('<body><div class="x>Hello "there" world</div><p>after', "after"),
+        ('<body><p>before</p><div class="x>inside</div>and <b>more</b>', "before inside and more"),
+        ("<p>1 < 2 and 3 > 2 &lt;b&gt; <3 </p>", "1 < 2 and 3 > 2 <b> <3"),
+        ("<p>a</p><div data-x='>' title=\"a > b\" \"x>b</div>", "a b"),
+        ("<p>kept</p><!-- never closed <p>gone", "kept"),
+        ("<p>kept</p><a href", "kept"),
+        ("<p>kept</p></ x><?php x ?><!doctype y><p>too</p><script>var a='<p>no</p>'", "kept too"),
+        ("<p>before<svg><text>no</text></svg></p><svg><p>open svg</p>", "before open svg"),
+        ("<P CLASS=a>Upper</P\n><UL><LI>one<LI>two</UL>", "Upper one two"),
+        ("<div class='related-work'><h2>Related work</h2><p>The whole article stands here, and it is long.</p></div><p>x</p>", "Related work The whole article stands here, and it is long."),
+        ("<div class='related posts-0'><p>No</p></div><article class='header-page'><p>The article, much longer.</p></article>", "The article, much longer."),
+        ("<div class='notice'><p>The whole article stands in a notice, and it is long.</p></div><p>x</p>", "The whole article stands in a notice, and it is long."),
+    ],
+)
+def test_broken_and_odd_pages(source, want):
+    page = html_text.Page(source)
+    assert page.within(page.best()[0]) == want
+
+
+@pytest.mark.parametrize("part", ['<a "', "<a b='", '<div class="', "<", "</", "<!--", "<script>", "<a b=", "<p title=\"x' ", "<svg ", "<a  "])
+def test_reading_takes_time_in_proportion(part):
+    took = []
+    for n in (20_000, 80_000):
+        begin = time.process_time()
+        html_text.Page("<p>x</p>" + part * n)
+        took.append(time.process_time() - begin)
+    assert took[1] < 10 * max(took[0], 0.05)
+
+
 def test_hosts_agree_on_a_path(spark):
     """On one page a long text stands elsewhere; the host's other pages outvote it."""
     usual = "<body><div class=main><p>{}</div><div class=extra><p>{}</div></body>"
