@@ -5,7 +5,7 @@ all ways to cut it into pieces, of the product of their probabilities; the forwa
 place, for many words and all languages at once. The probabilities come from expectation-maximisation with the same sums, on
 a sample of about PER_LANGUAGE labelled documents of each language. Then every whole text is scored.
 
-Words are runs of letters, lower-cased; runs over LONGEST letters are scored in parts. Texts that are null or have no
+Words are runs of letters (Unicode's categories L), lower-cased; runs over LONGEST letters are scored in parts. Texts that are null or have no
 letter are und, score 0. So is everything if no row can be learned from. Repeated rows each get their own row; an empty table
 gives none. Extra columns are not read.
 """
@@ -13,20 +13,20 @@ gives none. Extra columns are not read.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bazaarlake.llm.common import read
 
-WORD = re.compile(r"[^\W\d_]+")
+WORD = regex.compile(r"\p{L}+")
 START = "▁"
-LONGEST, PIECE, FLOOR = 30, 12, 1e-8
+LONGEST, FLOOR = 30, 1e-8
 #: About how many documents of each language the model is fitted on.
 PER_LANGUAGE = 1500
 ROUNDS = 3
@@ -50,7 +50,8 @@ class Pieces:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         found = {model.id_to_piece(k) for k in range(model.vocab_size())}
-        kept = sorted(p for p in found if WORD.fullmatch(p.removeprefix(START)) and p == p.lower() and len(p) <= PIECE)
+        kept = sorted(p for p in found if WORD.fullmatch(p.removeprefix(START)) and p == p.lower() and len(p) <= LONGEST + 1)
+        self.longest = max(map(len, kept))
         self.n = len(kept)
         up = np.arange(LONGEST + 2)
         self.power = np.array([pow(BASE, int(k), 2**64) for k in up], np.uint64)
@@ -69,7 +70,7 @@ class Pieces:
         np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * self.power[:width], axis=1, out=sums[:, 1:])
         cells = {}
         for end in range(1, width + 1):
-            for length in range(1, min(end, PIECE) + 1):
+            for length in range(1, min(end, self.longest) + 1):
                 key = (sums[:, end] - sums[:, end - length]) * self.back[end - length]
                 at = np.minimum(np.searchsorted(self.keys, key), self.n - 1)
                 cells[end, length] = np.where(self.keys[at] == key, self.order[at], self.n)
@@ -82,7 +83,7 @@ class Pieces:
         alpha[0] = 1
         for end in range(1, width + 1):
             alpha[end] = alpha[end - 1] * np.maximum(p[cells[end, 1]], FLOOR)
-            for length in range(2, min(end, PIECE) + 1):
+            for length in range(2, min(end, self.longest) + 1):
                 piece = cells[end, length]
                 hit = np.flatnonzero(piece < self.n)
                 alpha[end][hit] += alpha[end - length][hit] * p[piece[hit]]
@@ -98,7 +99,7 @@ class Pieces:
         used = np.zeros(self.n + 1)
         total = counts / alpha[sizes, np.arange(len(sizes))]
         for end in range(width, 0, -1):
-            for length in range(1, min(end, PIECE) + 1):
+            for length in range(1, min(end, self.longest) + 1):
                 piece = cells[end, length]
                 chance = np.maximum(p[piece], FLOOR) if length == 1 else p[piece]
                 used += np.bincount(piece, alpha[end - length] * chance * beta[end] * total, self.n + 1)

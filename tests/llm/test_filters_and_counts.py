@@ -1,6 +1,7 @@
 """Quality rules, token counts and URL filters against plain versions."""
 
 import collections
+import random
 import re
 
 import pytest
@@ -100,3 +101,29 @@ def test_url_rules_and_model(spark):
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
         assert r["verdict"] == verdict if verdict else r["verdict"] in ("allow", "block")
     assert url_filter.judge_urls(pages.limit(0), model, url_filter.RULES).count() == 0
+
+
+def test_verdicts_on_sites_that_were_not_learned_from(spark):
+    """Each fifth name is held out in turn; and names that say nothing, made up by another rule."""
+    rng = random.Random(3)
+    nothing = ["".join(rng.choice("aeiou") + rng.choice("bdklmnrt") for _ in range(rng.randrange(3, 6))) for _ in range(200)]
+    right = {"block": [], "allow": []}
+    for fold in range(5):
+        split = {k: ([x for i, x in enumerate(names) if i % 5 == fold], [x for i, x in enumerate(names) if i % 5 != fold]) for k, names in (("block", url_filter.UNWANTED), ("allow", url_filter.ORDINARY))}
+        model = url_filter.train(url_filter.labelled_urls(spark, split["block"][1], split["allow"][1]))
+        rows = [(k, u, want) for want in right for k, u in enumerate(url_filter.urls_of(split[want][0] + (nothing if want == "allow" and not fold else [])))]
+        found = url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, want string").selectExpr("concat(want, page_id) as page_id", "url"), model, {}).collect()
+        for r in found:
+            right[r["page_id"][:5]].append(r["verdict"] == r["page_id"][:5])
+    shares = {k: sum(x) / len(x) for k, x in right.items()}
+
+    assert shares["block"] > 0.6 and shares["allow"] > 0.95
+
+
+def test_odd_urls(spark):
+    urls = ["://", "http://", "x" * 100_000, "http://" + "a" * 50_000 + ".net/" + "b" * 50_000, "http://\u00e9.org/fr/", "", "HTTP://A.NET?x", "http://.net/", "http://net/x", "http://example.com/de"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    model = url_filter.train(url_filter.labelled_urls(spark))
+    found = {r["page_id"]: r for r in url_filter.judge_urls(pages, model, url_filter.RULES).collect()}
+    assert [found[k]["rule"] for k in range(len(urls))] == [None, None, None, "net/", "org/fr/", None, None, "net/", "net/", None]
+    assert all(r["verdict"] in ("allow", "block") for r in found.values())

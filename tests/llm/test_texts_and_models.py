@@ -315,13 +315,13 @@ def test_forward_sums_all_segmentations():
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=language_id.vocabulary_path())
-    kept = sorted(x for x in {model.id_to_piece(k) for k in range(model.vocab_size())} if language_id.WORD.fullmatch(x.removeprefix("▁")) and x == x.lower() and len(x) <= language_id.PIECE)
+    kept = sorted(x for x in {model.id_to_piece(k) for k in range(model.vocab_size())} if language_id.WORD.fullmatch(x.removeprefix("▁")) and x == x.lower())
     names = {x: k for k, x in enumerate(kept)}
 
     def plain(word):
         sums = [1.0] + [0.0] * len(word)
         for end in range(1, len(word) + 1):
-            for start in range(max(0, end - language_id.PIECE), end):
+            for start in range(end):
                 one = p[names[word[start:end]], 0] if word[start:end] in names else 0.0
                 sums[end] += sums[start] * (max(one, language_id.FLOOR) if end - start == 1 else one)
         return sums[-1]
