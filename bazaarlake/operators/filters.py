@@ -108,3 +108,21 @@ def reject_reason(heading: str = "heading", description: str = "description", pr
 
 def cars_only(rows: DataFrame) -> DataFrame:
     return rows.where(reject_reason().isNull())
+
+
+#: The words of the older, simpler test.
+NO_CAR_WORDS = (
+    "ALU kola kol motor sada díly sklo převodovka pneu pneumatiky disky sedadla baterie náhradní zrcátka motocykl motorky moto kolo skútr"
+    " motorové karavany choppery endura autobus autodíly zimní letní"
+).split()
+
+
+def is_car_by_keywords(model: Column, heading: Column, price: Column) -> Column:
+    """The older test: a known model, a price from 5000 on, and none of the words in the heading."""
+    words = r"(?iU)\b(?:" + "|".join(NO_CAR_WORDS) + r")\b"
+    return F.coalesce(model.isNotNull() & (price >= CAR_PRICES[0]) & ~heading.rlike(words), F.lit(False))
+
+
+def page_size(kind: str, wanted: int) -> int:
+    """Rows of a page as asked for, within what a kind of listing allows."""
+    return clamp(wanted, 1, PAGE_SIZES[kind])
