@@ -30,27 +30,72 @@ def quartiles(prices: Column) -> Column:
     return F.when(n > 0, made)
 
 
+def quartiles_of(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, and q1, median, q3, iqr and count of each group's values, as quartiles() has them; groups without a value are left out.
+
+    Equal values are counted before they move, so a group is no larger than its distinct values.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy(*keys)
+    ranked = counts.withColumn("_to", F.sum("_n").over(group.orderBy(value))).withColumn("_all", F.sum("_n").over(group))
+    n, x = F.col("_all"), F.col(value)
+
+    def at(rank: Column) -> Column:
+        return F.min(F.when(F.col("_to") >= rank, x))
+
+    j = {i: F.greatest(F.least(F.floor(F.lit(i) * (n + 1) / 4), n - 1), F.lit(1)) for i in (1, 3)}
+    places = {"a1": j[1], "b1": j[1] + 1, "a3": j[3], "b3": j[3] + 1, "a2": F.floor((n + 1) / 2), "b2": F.floor(n / 2) + 1, "first": F.lit(1), "last": n}
+    found = ranked.groupBy(*keys).agg(F.max("_all").alias("count"), *(at(rank).alias(f"_{k}") for k, rank in places.items()))
+    n = F.col("count")
+
+    def quartile(i: int) -> Column:
+        d = F.lit(i) * (n + 1) - 4 * F.greatest(F.least(F.floor(F.lit(i) * (n + 1) / 4), n - 1), F.lit(1))
+        return (F.col(f"_a{i}") * (4 - d) + F.col(f"_b{i}") * d) / 4
+
+    q1 = F.when(n >= 4, quartile(1)).otherwise(F.col("_first").cast("double"))
+    q3 = F.when(n >= 4, quartile(3)).otherwise(F.col("_last").cast("double"))
+    return found.select(*keys, q1.alias("q1"), ((F.col("_a2") + F.col("_b2")) / 2).alias("median"), q3.alias("q3"), (q3 - q1).alias("iqr"), n.alias("count"))
+
+
 def score(price: Column, median: Column) -> Column:
     """Percent under the median; null for a median of 0."""
     return F.when(median != 0, (median - price) / median * 100)
 
 
+def joined_by(rows: DataFrame, stats: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """rows with the other columns of stats; null keys are equal."""
+    named = stats.select(*(F.col(k).alias(f"_{k}") for k in keys), *(c for c in stats.columns if c not in keys))
+    on = F.lit(True)
+    for k in keys:
+        on &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return rows.join(named, on, how).drop(*(f"_{k}" for k in keys))
+
+
 def banded(rows: DataFrame) -> DataFrame:
     """Plausible offers of segments with enough peers, with segment_median, median, peers and confidence.
 
-    One shuffle on the segment serves all windows. The bands are range frames over the year. An offer without a year has the
-    whole segment for peers.
+    Prices are counted by segment and year before they move; a count then goes to each year whose band it is in, so the work
+    grows with the distinct prices of a year, not with a segment's offers squared. Offers meet their segment's and year's
+    medians in equality joins, which Spark splits where a segment is hot. An offer without a year has the whole segment for
+    peers.
     """
-    segment = Window.partitionBy(*SEGMENT)
-    year = F.col("year_manufacture")
     out = rows.where(plausible_price() & F.col("brand").isNotNull() & F.col("model").isNotNull())
-    out = out.withColumn("segment_size", F.count(F.lit(1)).over(segment)).where(F.col("segment_size") >= MIN_PEERS)
-    out = out.withColumn("segment_median", F.percentile("price", 0.5).over(segment))
+    year = "year_manufacture"
+    counts = out.groupBy(*SEGMENT, year, "price").agg(F.count(F.lit(1)).alias("n"))
+    whole = counts.groupBy(*SEGMENT).agg(F.sum("n").alias("segment_size"), F.percentile("price", 0.5, F.col("n")).alias("segment_median"))
+    widest = max(width for width, _ in BANDS)
+    near = counts.where(F.col(year).isNotNull()).select(*SEGMENT, "price", "n", year, F.explode(F.sequence(F.lit(-widest), F.lit(widest))).alias("away"))
+    near = near.withColumn(year, F.col(year) + F.col("away"))
+    columns = []
+    for width, _ in BANDS:
+        n = F.when(F.abs("away") <= width, F.col("n")).otherwise(0)
+        columns += [F.sum(n).alias(f"n{width}"), F.percentile("price", 0.5, n).alias(f"m{width}")]
+    bands = near.groupBy(*SEGMENT, year).agg(*columns)
+    out = joined_by(out, whole.where(F.col("segment_size") >= MIN_PEERS), SEGMENT, "inner")
+    out = joined_by(out, bands, [*SEGMENT, year], "left")
     median, peers, confidence = F.col("segment_median"), F.col("segment_size"), F.lit("low")
     for width, name in reversed(BANDS):
-        band = segment.orderBy("year_manufacture").rangeBetween(-width, width)
-        out = out.withColumn(f"n{width}", F.count(F.lit(1)).over(band)).withColumn(f"m{width}", F.percentile("price", 0.5).over(band))
-        enough = year.isNotNull() & (F.col(f"n{width}") >= MIN_PEERS)
+        enough = F.col(year).isNotNull() & (F.col(f"n{width}") >= MIN_PEERS)
         median = F.when(enough, F.col(f"m{width}")).otherwise(median)
         peers = F.when(enough, F.col(f"n{width}")).otherwise(peers)
         confidence = F.when(enough, name).otherwise(confidence)
@@ -106,16 +151,10 @@ def score_offers(rows: DataFrame, targets: DataFrame) -> DataFrame:
     peers = rows.where(plausible_price())
 
     def stats(keys: list[str], name: str) -> DataFrame:
-        made = peers.groupBy(*keys).agg(quartiles(F.collect_list("price")).alias(name)).where(F.col(f"{name}.count") >= MIN_PEERS)
-        return made.select(*(F.col(k).alias(f"{name}_{k}") for k in keys), name)
-
-    def same(keys: list[str], name: str) -> Column:
-        on = F.lit(True)
-        for k in keys:
-            on &= F.col(k).eqNullSafe(F.col(f"{name}_{k}"))
-        return on
+        made = quartiles_of(peers, keys, "price").where(F.col("count") >= MIN_PEERS)
+        return made.select(*keys, F.struct("q1", "median", "q3", "iqr", "count").alias(name))
 
-    with_fuel, without = stats(SEGMENT, "a"), stats(SEGMENT[:2], "b")
-    found = targets.join(with_fuel, same(SEGMENT, "a"), "left").join(without, same(SEGMENT[:2], "b"), "left")
+    found = joined_by(targets, stats(SEGMENT, "a"), SEGMENT, "left")
+    found = joined_by(found, stats(SEGMENT[:2], "b"), SEGMENT[:2], "left")
     best = F.coalesce("a", "b")
     return found.withColumn("stats", best).where("stats is not null").select("id", score(F.col("price"), F.col("stats.median")).alias("score"), "stats.*")

@@ -39,8 +39,7 @@ def quartile_sql(i: int) -> str:
 
 
 def quartiles_query(spark, sf_dir):
-    grouped = listings(spark, sf_dir).groupBy(*deals.SEGMENT).agg(deals.quartiles(F.collect_list("price")).alias("s"))
-    return grouped.select(*deals.SEGMENT, "s.*")
+    return deals.quartiles_of(listings(spark, sf_dir), deals.SEGMENT, "price")
 
 
 STATS = f"""select *, {quartile_sql(2)} as median, {quartile_sql(1)} as q1, {quartile_sql(3)} as q3 from (select brand, model, fuel, list(price order by price) as x, count(*) as n from listings group by brand, model, fuel)

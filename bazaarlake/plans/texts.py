@@ -11,7 +11,7 @@ from bazaarlake.functions import normalise as nrm
 from bazaarlake.functions import reconcile as rec
 from bazaarlake.functions import spans
 from bazaarlake.operators.filters import reject_reason
-from bazaarlake.sources.listings import AS_OF_YEAR, FUEL_WORDS, LISTINGS_SQL, described, listings
+from bazaarlake.sources.listings import AS_OF_YEAR, FUEL_WORDS, LISTINGS_SQL, described, listings, spread, table
 
 FUEL_SQL = "case fuel " + " ".join(f"when '{k}' then '{v}'" for k, v in FUEL_WORDS.items()) + " end"
 #: A year that a six-digit mileage begins with is taken for part of a longer number.
@@ -20,7 +20,7 @@ MILEAGE_SQL = "case when mileage < 10000 then null when id % 3 = 0 then mileage
 
 
 def texts(spark, sf_dir):
-    return described(listings(spark, sf_dir))
+    return spread(described(listings(spark, sf_dir)), table(spark, sf_dir, "orders"))
 
 
 def extracted(spark, sf_dir):

@@ -74,6 +74,15 @@ with listings as (
 )"""
 
 
+def spread(rows: DataFrame, source: DataFrame) -> DataFrame:
+    """rows, dealt to all cores if the table that they come from has fewer splits than there are cores; large ones stay as they are.
+
+    For work on texts that takes far longer than moving them.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if source.rdd.getNumPartitions() < cores else rows
+
+
 def described(rows: DataFrame) -> DataFrame:
     """listings with text: a description in which each column that is present is written in one of several ways."""
     way = F.col("id") % 3
