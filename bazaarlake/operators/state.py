@@ -34,15 +34,19 @@ def upsert(old: DataFrame, new: DataFrame, key: str, version: str, keep_old: tup
 def lookup_or_insert(dimension: DataFrame, names: DataFrame, id_col: str = "id", name_col: str = "name") -> DataFrame:
     """dimension with a row for each new name, told apart without regard to case and outer spaces. Ids go on from the largest.
 
-    New names are numbered as a whole; that is one task, over the distinct names that are new.
+    New names are numbered in order: within those of one beginning each, after the numbers of the beginnings before.
     """
     plain = F.lower(F.trim(name_col))
     known = dimension.select(plain.alias("_name"))
     fresh = names.select(F.trim(name_col).alias(name_col)).withColumn("_name", plain).dropna()
     fresh = fresh.groupBy("_name").agg(F.min(name_col).alias(name_col)).join(known, "_name", "left_anti")
-    largest = dimension.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_max"))
-    numbered = fresh.withColumn("_n", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("_name"))).crossJoin(F.broadcast(largest))
-    return dimension.select(id_col, name_col).unionByName(numbered.select((F.col("_max") + F.col("_n")).cast(dimension.schema[id_col].dataType).alias(id_col), name_col))
+    fresh = fresh.withColumn("_start", F.substring("_name", 1, 3))
+    before = Window.partitionBy(F.lit(1)).orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    starts = fresh.groupBy("_start").agg(F.count(F.lit(1)).alias("_n")).select("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    largest = dimension.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_max"))  # one row
+    numbered = fresh.withColumn("_n", F.row_number().over(Window.partitionBy("_start").orderBy("_name"))).join(starts, "_start").crossJoin(F.broadcast(largest))
+    number = F.col("_max") + F.col("_before") + F.col("_n")
+    return dimension.select(id_col, name_col).unionByName(numbered.select(number.cast(dimension.schema[id_col].dataType).alias(id_col), name_col))
 
 
 def remaining(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:

@@ -82,13 +82,6 @@ def page_offsets(spark: SparkSession, brands: DataFrame, most: int = 20_000, ste
     return brands.where(last >= step).select("brand", F.explode(F.sequence(F.lit(step), last, F.lit(step))).alias("offset"))
 
 
-def links(pages: DataFrame, base: str, html_col: str = "html") -> DataFrame:
-    """(base joined) addresses of the listing links of a results page."""
-    found = F.regexp_extract_all(html_col, F.lit(r'(?is)<div[^>]*class="[^"]*inzeraty[^"]*"[^>]*>.*?<a[^>]*href="([^"]+)"'), F.lit(1))
-    url = F.col("link")
-    return pages.select("*", F.explode(found).alias("link")).withColumn("link", F.when(url.startswith("http"), url).otherwise(F.concat(F.lit(base), url)))
-
-
 def quota(rows: DataFrame, quotas: DataFrame, key: str = "brand") -> DataFrame:
     """The first n rows by id of each key, n from quotas (key, n)."""
     from pyspark.sql import Window
