@@ -27,7 +27,7 @@ def fuel(raw: Column) -> Column:
     value = F.lower(F.trim(raw))
     out = F.when(F.coalesce(raw, F.lit("")) == "", F.lit(None))
     for name, words in P.FUEL_EXACT.items():
-        out = out.when(value.isin(words.split(",")), name)
+        out = out.when(value.isin(*words), name)
     for table in (P.FUEL_PARTS, P.FUEL_CODES):
         for name, parts in table.items():
             out = out.when(value.rlike(parts), name)

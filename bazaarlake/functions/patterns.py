@@ -86,15 +86,22 @@ POWER_MEDIUM = [
 ]
 
 FUEL_WORDS = r"\b(benzin(?:ový|ového|ovým|ové|ovém)?|benzín(?:ový|ového|ovým|ové|ovém)?|nafta|naftový(?:ho|mu|m|ém)?|diesel(?:ový|ového|ovým|ové)?|dýzl|naftak|turbodiesel|hybrid(?:ní|ním|ního)?|phev|mhev|elektro|electric|ev|bev|lpg|cng|plyn|e85)\b"
-ENGINE_CODES = "tdi tsi hdi cdti crdi dci jtd jtdm tdci dti tce gti gdi mpi fsi tfsi".split()
+ENGINE_CODES = ("tdi", "tsi", "hdi", "cdti", "crdi", "dci", "jtd", "jtdm", "tdci", "dti", "tce", "gti", "gdi", "mpi", "fsi", "tfsi")
 #: Exact words of each fuel; then parts of words, in order; then engine codes.
 FUEL_EXACT = {
-    "diesel": "diesel,nafta,tdi,td,motorová nafta,motorova nafta,disel,naftový,naftovým,dieselový,dieselovým,hdi,cdti,crdi,dci,jtd,jtdm,tdci,turbodiesel,naftak,dýzl,naftového,naftovému,naftovém",
-    "benzín": "benzín,benzin,gas,gasoline,b,benzínový,benzínovým,benzínového,benzínovém,benzinový,benzinového,benzinovým,tsi,e85",
-    "lpg": "lpg,plyn",
-    "cng": "cng",
-    "elektro": "elektro,electric,ev,elektřina,bev",
-    "hybrid": "hybrid,hybridní,hybridním,hybridního,phev,mhev",
+    "diesel": (
+        "diesel", "nafta", "tdi", "td", "motorová nafta", "motorova nafta", "disel", "naftový", "naftovým", "dieselový",
+        "dieselovým", "hdi", "cdti", "crdi", "dci", "jtd", "jtdm", "tdci", "turbodiesel", "naftak", "dýzl", "naftového",
+        "naftovému", "naftovém",
+    ),
+    "benzín": (
+        "benzín", "benzin", "gas", "gasoline", "b", "benzínový", "benzínovým", "benzínového", "benzínovém", "benzinový",
+        "benzinového", "benzinovým", "tsi", "e85",
+    ),
+    "lpg": ("lpg", "plyn",),
+    "cng": ("cng",),
+    "elektro": ("elektro", "electric", "ev", "elektřina", "bev",),
+    "hybrid": ("hybrid", "hybridní", "hybridním", "hybridního", "phev", "mhev",),
 }
 FUEL_PARTS = {"diesel": "diesel|naft|disel|diesl", "benzín": "benz|bezín|bezin", "hybrid": "hybrid", "lpg": "lpg|plyn", "cng": "cng", "elektro": "elek"}
 FUEL_CODES = {"diesel": "tdi|hdi|cdti|crdi|dci|jtdm?|tdci|dti", "benzín": "tsi|tce|gti|gdi|mpi|fsi|tfsi"}
