@@ -41,12 +41,30 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written once as Parquet to the shared folder and read again: cuts the lineage, survives lost executors."""
+#: Folders of the tables that this process has stored and not deleted.
+STORED: list[str] = []
+
+
+def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df, written once as Parquet to the shared folder and read again, and the table's folder."""
     small_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    STORED.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written once as Parquet to the shared folder and read again: cuts the lineage, survives lost executors."""
+    return stored_at(df, name)[0]
+
+
+def forget(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes stored tables; such as all of STORED, once results are written that were made from them."""
+    for name in list(paths):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        STORED.remove(name)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaarlake.llm.common import stored
+from bazaarlake.llm.common import forget, stored_at
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def components(links: DataFrame) -> DataFrame:
     def mark(df: DataFrame):
         return df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
 
-    now = stored(tidy(links), "links")
+    now, path = stored_at(tidy(links), "links")
     seen = mark(now)
     while seen[0]:
         both = now.union(now.select("b", "a"))
@@ -31,7 +31,9 @@ def components(links: DataFrame) -> DataFrame:
         large = tidy(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low)
-        now = stored(tidy(small), "links")
+        before = path
+        now, path = stored_at(tidy(small), "links")
+        forget(links.sparkSession, [before])
         last, seen = seen, mark(now)
         if seen == last:
             break

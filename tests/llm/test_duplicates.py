@@ -208,3 +208,15 @@ def test_random_texts_of_few_letters(spark):
     done = suffix_dedup.without_repeats(docs).selectExpr("row.doc_id", "n_bytes", "n_removed", "n_spans", "sha2(kept, 256) as digest").collect()
     want = plain_removal(found)
     assert all(tuple(r)[1:] == want[r["doc_id"]] for r in done)
+
+
+def test_stored_tables_can_be_forgotten(spark, tmp_path):
+    from bazaarlake.llm import common
+
+    (a, one), (b, other) = (common.stored_at(spark.range(k + 1), "x") for k in range(2))
+    assert (a.count(), b.count()) == (1, 2) and {one, other} <= set(common.STORED)
+    common.forget(spark, [other])
+    assert a.count() == 1 and other not in common.STORED
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST|does not exist"):
+        b.collect()
+    common.forget(spark, [one])
