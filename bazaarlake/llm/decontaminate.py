@@ -229,17 +229,22 @@ class Searcher:
         parts, near = np.nonzero(cosines >= COSINE)
         shared = (weights[near] * self.masks[parts[:, None], cells[near]]).sum(axis=1)
         keep = shared >= SHARED * np.minimum(own[near], self.mass[parts])
-        for k, p in zip(parts[keep].tolist(), near[keep].tolist(), strict=True):
-            item, t, at = int(self.owner[k]), int(text[p]), int(first[p]) * BLOCK
+        # A passage that several passages of an item are near is compared with the item once.
+        order = np.lexsort((-cosines[parts[keep], near[keep]], near[keep], self.owner[parts[keep]]))
+        items, hits = self.owner[parts[keep]][order], near[keep][order]
+        high = cosines[parts[keep], near[keep]][order]
+        once = np.r_[True, (items[1:] != items[:-1]) | (hits[1:] != hits[:-1])] if len(items) else np.zeros(0, bool)
+        for item, p, cosine in zip(items[once].tolist(), hits[once].tolist(), high[once].tolist(), strict=True):
+            t, at = int(text[p]), int(first[p]) * BLOCK
             wanted = self.lists[item]
             part = words[t][max(0, at - len(wanted)) : at + 2 * BLOCK + len(wanted)].tolist()
-            order = common_order(wanted, part) / len(wanted)
+            share = common_order(wanted, part) / len(wanted)
             rare = self.rare[item]
             answered = len(rare.intersection(part)) * 2 > len(rare)
-            if order >= ORDER or (answered and order >= ORDER_WITH_ANSWER):
-                best[t, item] = max(best.get((t, item), (0.0,)), (order, float(cosines[k, p]), answered))
-        for (t, item), (order, cosine, answered) in best.items():
-            yield t, self.items[item][0], cosine, order, answered
+            if share >= ORDER or (answered and share >= ORDER_WITH_ANSWER):
+                best[t, item] = max(best.get((t, item), (0.0,)), (share, cosine, answered))
+        for (t, item), (share, cosine, answered) in best.items():
+            yield t, self.items[item][0], cosine, share, answered
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:

@@ -229,6 +229,18 @@ def test_no_token_sees_later_ones():
     assert np.allclose(parts[0][:20], parts[1][:20], rtol=1e-5) and not np.allclose(parts[0][21:], parts[1][21:])
 
 
+def test_very_long_texts(spark):
+    """One text of two million characters, and one word as long as a window of texts."""
+    item = prose(900, 40)
+    long = prose(901, 150_000) + " " + item + " " + prose(902, 150_000)
+    docs = spark.createDataFrame([(1, long, "en"), (2, "x" * 300_000, "en"), (3, prose(903, 50), "en"), (4, item, "de")], "doc_id long, text string, lang string")
+    items = spark.createDataFrame([(7, item), (8, prose(904, 200))], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, items).collect()} == {(1, 7), (4, 7)}
+    scored = {r["doc_id"]: r for r in attention_lm.score_texts(docs).collect()}
+    assert scored[1]["n_tokens"] == len(long.split()) + 1 and scored[1]["score"] < scored[3]["score"] < 0
+    assert {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs, docs).collect()}.keys() == {1, 2, 3, 4}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>Not <p>this</title><style>p{}</style><script>var t="</p>";</script></head><body class=x>
 <header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></ul></nav><!-- <p>no</p> --><div class="cookie-notice">We use cookies</div>
 <div id="wrap-7"><div class="post p12"><h2>A &amp; B&nbsp;title</h2><p>First <b>bold</b>er line<br>second &eacute;&#33; line.<p>Unclosed one,
