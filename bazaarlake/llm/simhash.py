@@ -115,7 +115,8 @@ def near_links(fps: DataFrame, radius: int = 4, bucket: int = BUCKET) -> DataFra
 
     A bucket beyond the bound is handled without comparing its pairs: two fingerprints within an even radius share a
     midpoint within half of it from both, and all that share a midpoint are within the radius of each other. So each
-    one names its midpoints and links to the smallest that names the same. That grows with the bucket, not its square.
+    one names its midpoints and links to the smallest that names the same: 2,081 rows for each of its fingerprints at a
+    radius of 4 (itself, with one bit and with two bits changed). That grows with the bucket, not its square.
     """
     if radius % 2:
         raise ValueError("the radius must be even")
