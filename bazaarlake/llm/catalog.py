@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from bazaarlake.llm import fill_in_middle, source_audit, topk_search
 from bazaarlake.llm.attention_lm import op6_lm_scoring
 from bazaarlake.llm.decontaminate import op4_benchmark_decontamination
 from bazaarlake.llm.html_text import op7_html_extraction
@@ -28,5 +29,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_topk_search": topk_search.op11_topk_search,
+    "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
+    "op13_source_divergence": source_audit.op13_source_divergence,
+}
+#: The others are tested against plain versions.
+ORACLE_SQL: dict[str, str] = {
+    "op11_topk_search": topk_search.SQL,
+    "op12_fill_in_middle": fill_in_middle.SQL,
+    "op13_source_divergence": source_audit.SQL,
 }
-ORACLE_SQL: dict[str, str] = {}

@@ -23,6 +23,9 @@ TYPES = {
     "op8_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double",
     "op9_packing": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
     "op10_simhash_near_dedup": "doc_id bigint, fingerprint string, component_id bigint",
+    "op11_topk_search": "query_id bigint, rank int, vec_id bigint, score bigint",
+    "op12_fill_in_middle": "doc_id bigint, n bigint, form string, prefix_chars bigint, middle_chars bigint, output_sha256 string, restored_sha256 string",
+    "op13_source_divergence": "lang string, source string, part string, item string, value bigint, rank int",
 }
 DOCS = [*rows(), (60, "²½Ⅻ 12 !!", "en", "a", 9), (61, "x", "en", "a", 1)]
 ITEMS = [(1, prose(1, 40)), (2, None), (None, prose(777, 30)), (3, "")]
