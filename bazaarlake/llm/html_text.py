@@ -1,9 +1,10 @@
 """HTML extraction by consensus: pages vote for the path of their best container, hosts take the path most voted for.
 
 A page is read into containers (elements that hold blocks) and blocks of text. What stands in navigation, headers,
-footers, sidebars, forms, notices, adverts and comments, told by tag, role or class name, counts for nothing. Some names tell
-less: related, notice, side and such count against a container only if the words beside them say nothing else, and only
-if it doesn't hold the greater part of the page's text. The best container gathers the most text that is not link text.
+footers, sidebars, forms, notices, adverts and comments, told by tag, role or class name, counts for nothing; but a header
+within an article is the article's heading. Names tell if they say nothing else (menu, site-footer, comment-list). Where an unwanted
+word stands beside others (modal-logic, menu-planning), and for related, notice, side and such, the name counts against a
+container only if it doesn't hold the greater part of the page's text, so that no article is lost by its name. The best container gathers the most text that is not link text.
 Its path, tags and classes from the root with digits made alike, is the page's vote; Spark counts the votes of each host,
 and each page is read again with its host's winning path. A page without that path falls back on its own best container.
 
@@ -35,26 +36,38 @@ CONTAINERS = set("html head body div section article main aside nav header foote
 BREAKS = CONTAINERS | set("p h1 h2 h3 h4 h5 h6 li dt dd br hr pre blockquote figcaption address caption thead tfoot option summary legend button select".split())
 UNWANTED_TAGS = set("head nav header footer aside form noscript menu dialog fieldset".split())
 UNWANTED_ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
-UNWANTED_NAMES = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert\w*|sidebar|nav|navbar|navigation|menu|footer|comments?|replies|cookies?|consent|sponsor\w*|breadcrumbs?|popup|modal"
-    r"|newsletter|subscribe|signup|login|pagination|pager|outbrain|taboola)(?:$|[-_\s\d])"
+#: Words of class names and ids that tell what is no article.
+UNWANTED_WORDS = re.compile(
+    r"ads?|advert\w*|sidebar|nav|navbar|navigation|menu|footer|comments?|replies|cookies?|consent|sponsor\w*|breadcrumbs?|popup|modal"
+    r"|newsletter|subscribe|signup|login|pagination|pager|outbrain|taboola"
 )
 #: Words that tell less, and words that stand beside them and say nothing themselves.
 DOUBTFUL = set("banner side header notice notices alert alerts promo promos promotion share sharing social related recommended recommendations overlay widget widgets toolbar disclaimer copyright skip masthead aside".split())
 BESIDE = set("posts post articles links link buttons button box bar block list wrap wrapper container section area inner item items stories news top bottom left right site page msg message content text col column row group panel".split())
+#: Words that stand beside the unwanted ones too, and say no more.
+ALSO_BESIDE = set("main primary secondary global user users reader readers my mobile desktop sticky fixed form slot unit thread tree first second".split())
 #: The share of a page's text from which on a container is no side matter, whatever its doubtful name.
 MAIN_SHARE = 0.5
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 HINTS = {"article": 1.3, "main": 1.2}
 
 
-def doubtful(names: str) -> bool:
-    """One of the class names is made of doubtful words, and words that say nothing, alone."""
+def told_by(names: str) -> tuple[bool, bool]:
+    """Whether the class names tell that a container is unwanted, and whether they only make one doubt it.
+
+    A name tells if it is made of unwanted words and of words that say nothing; beside other words (modal-logic,
+    menu-planning) an unwanted word makes a doubt, and a doubtful one says nothing.
+    """
+    doubt = False
     for name in names.split():
         words = [w for w in re.split(r"[-_\d]+", name) if w]
-        if any(w in DOUBTFUL for w in words) and all(w in DOUBTFUL or w in BESIDE for w in words):
-            return True
-    return False
+        if any(UNWANTED_WORDS.fullmatch(w) for w in words):
+            if all(UNWANTED_WORDS.fullmatch(w) or w in DOUBTFUL or w in BESIDE or w in ALSO_BESIDE for w in words):
+                return True, False
+            doubt = True
+        elif any(w in DOUBTFUL for w in words) and all(w in DOUBTFUL or w in BESIDE for w in words):
+            doubt = True
+    return False, doubt
 
 
 class Tags:
@@ -186,15 +199,17 @@ class Page:
         names, own = found.get("class", "").lower(), found.get("id", "").lower()
         step = ".".join([tag, *sorted(re.sub(r"\d+", "0", names).split())])
         named = tag not in ("html", "body", "article", "main")
+        told, doubt = (told_by(f"{names} {own}") if names or own else (False, False)) if named else (False, False)
+        title = tag == "header" and any(t == "article" for _, t in self.open)  # an article's own heading
         wanted = wanted and not (
-            tag in UNWANTED_TAGS
-            or (named and (UNWANTED_NAMES.search(names) or UNWANTED_NAMES.search(own)))
+            (tag in UNWANTED_TAGS and not title)
+            or told
             or found.get("role", "").lower() in UNWANTED_ROLES
             or found.get("aria-hidden", "").lower() == "true"
             or HIDDEN.search(found.get("style", "").lower())
             or "hidden" in found
         )
-        self.containers.append([f"{path}/{step}", up, bool(wanted), named and (doubtful(names) or doubtful(own)), 0.0])
+        self.containers.append([f"{path}/{step}", up, bool(wanted), doubt, 0.0])
         self.open.append((len(self.containers) - 1, tag))
 
     def leave(self, tag: str) -> None:

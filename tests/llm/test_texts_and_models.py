@@ -285,6 +285,27 @@ def test_broken_and_odd_pages(source, want):
     assert page.within(page.best()[0]) == want
 
 
+@pytest.mark.parametrize("names", ["modal-logic", "menu-planning content", "post-comments-policy", "login-systems", "cookie-recipes"])
+def test_no_article_is_lost_by_its_name(names):
+    long = prose(5, 60)
+    for source in (f'<body><div class="{names}"><p>{long}</p></div><div><p>short</p></div></body>', f'<body><div id="{names.split()[0]}"><p>{long}</p></div></body>'):
+        page = html_text.Page(source)
+        assert page.within(page.best()[0]) == long
+
+
+def test_names_that_say_nothing_else_tell():
+    for names in ("comments", "comment-list", "site-footer", "main-nav", "cookie-consent", "user-comments", "ad-slot-2", "content menu"):
+        page = html_text.Page(f'<body><div class="{names}"><p>{prose(5, 60)}</p></div><div class=text><p>short</p></div></body>')
+        assert page.within(page.best()[0]) == "short"
+    small = html_text.Page(f'<body><div class="modal-offers"><p>buy it</p></div><div class=text><p>{prose(5, 60)}</p></div></body>')
+    assert small.within("/body") == prose(5, 60)  # a doubtful name and little text
+
+
+def test_heading_of_an_article_stays():
+    page = html_text.Page("<body><header><h1>Site</h1></header><article><header><h1>Title</h1><nav>menu</nav></header><p>Text of it.</p></article></body>")
+    assert page.within(page.best()[0]) == "Title Text of it."
+
+
 @pytest.mark.parametrize("part", ['<a "', "<a b='", '<div class="', "<", "</", "<!--", "<script>", "<a b=", "<p title=\"x' ", "<svg ", "<a  "])
 def test_reading_takes_time_in_proportion(part):
     took = []
