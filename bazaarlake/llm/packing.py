@@ -6,7 +6,7 @@ greedily filled patterns; a knapsack dynamic program finds the pattern that woul
 Rounded down, the patterns take all but a bounded rest (less than one sequence a pattern), which first-fit packs. Spark
 ranks the pieces within their class and hands each one the slot of that rank.
 
-Null text counts as empty: one token, the end mark. Repeated rows are packed each on its own. An empty table gives an
+Null text counts as empty: one token, the end mark. Very long texts give as many pieces as they fill sequences. Repeated rows are packed each on its own. An empty table gives an
 empty result. Extra columns are not read.
 """
 
@@ -74,13 +74,13 @@ def knapsack(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[float
     return float(best[capacity]), counts
 
 
-def filled_basis(sizes: np.ndarray, need: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns, one a column, and how often each is used, which take the need exactly.
+def filled_basis(sizes: np.ndarray, need: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Patterns, one a column, how often each is used, which take the need exactly, and the inverse of the patterns.
 
     Each pattern takes the largest sizes still needed and is used until one of its sizes is; no later pattern holds that
-    size, so the columns are independent.
+    size. So with the rows in the order in which sizes go, the patterns are a lower triangle, which is inverted row by row.
     """
-    basis, used = np.zeros((len(sizes), len(sizes))), np.zeros(len(sizes))
+    basis, used, gone = np.zeros((len(sizes), len(sizes))), np.zeros(len(sizes)), []
     left, wanted = need.copy(), np.ones(len(sizes), bool)
     for j in range(len(sizes)):
         pattern, room = np.zeros(len(sizes)), capacity
@@ -93,8 +93,20 @@ def filled_basis(sizes: np.ndarray, need: np.ndarray, capacity: int) -> tuple[np
         used[j] = left[out] / pattern[out]
         left = np.maximum(left - used[j] * pattern, 0)
         wanted[out] = False
+        gone.append(out)
         basis[:, j] = pattern
-    return basis, used
+    inverse = np.zeros_like(basis)
+    for j, i in enumerate(gone):
+        inverse[j, i] = 1.0
+        for before in np.flatnonzero(basis[i, :j]):
+            inverse[j] -= basis[i, before] * inverse[before]
+        inverse[j] /= basis[i, j]
+    return basis, used, inverse
+
+
+def times_vector(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """Their product, without the linear algebra library, whose threads may block those of a driver."""
+    return (matrix * vector).sum(axis=1)
 
 
 def patterns_by_columns(demand: dict[int, int], capacity: int, rounds: int = 1200, gap: float = 1e-3) -> list[tuple[dict[int, int], int]]:
@@ -108,16 +120,15 @@ def patterns_by_columns(demand: dict[int, int], capacity: int, rounds: int = 120
         return []
     exact = np.array([demand[int(s)] for s in sizes], float)
     need = exact * (1 + 1e-7 * np.sqrt(2 + np.arange(len(sizes))))  # no two ratios tie, so the method can't cycle
-    basis, used = filled_basis(sizes, need, capacity)
-    inverse = np.linalg.inv(basis)
-    full = (1 + gap) * (need @ sizes) / capacity
+    basis, used, inverse = filled_basis(sizes, need, capacity)
+    full = (1 + gap) * (need * sizes).sum() / capacity
     for k in range(rounds):
         if used.sum() <= full:  # hardly more sequences than if all were full
             break
         worth, column = knapsack(sizes, inverse.sum(axis=0), capacity)
         if worth <= 1 + gap:  # the optimum is at least the present number of sequences over worth
             break
-        move = inverse @ column
+        move = times_vector(inverse, column)
         ratio = np.where(move > 1e-9, used / np.where(move > 1e-9, move, 1.0), np.inf)
         out = int(ratio.argmin())
         step = ratio[out]
@@ -128,10 +139,10 @@ def patterns_by_columns(demand: dict[int, int], capacity: int, rounds: int = 120
         others = np.arange(len(sizes)) != out
         inverse[others] -= np.outer(move[others], inverse[out])
     times = np.floor(np.maximum(used, 0) + 1e-6)
-    rest = exact - basis @ times
+    rest = exact - times_vector(basis, times)
     while (rest < 0).any():  # an error of rounding took one pattern too many
         times[int((basis[int(rest.argmin())] * (times > 0)).argmax())] -= 1
-        rest = exact - basis @ times
+        rest = exact - times_vector(basis, times)
     found = [({int(s): int(n) for s, n in zip(sizes, basis[:, j], strict=True) if n}, int(t)) for j, t in enumerate(times) if t]
     return found + [(p, 1) for p in first_fit({int(s): int(n) for s, n in zip(sizes, rest, strict=True)}, capacity)]
 

@@ -2,6 +2,9 @@
 
 import collections
 import math
+import os
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -189,3 +192,18 @@ def test_op10(found, folder):
     classes = plain_classes(pairs)
     want = [(k, f"{f:016x}", classes[f]) for k, f in pairs]
     assert by_doc(found("op10_simhash_near_dedup"), "doc_id", "fingerprint", "component_id") == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("cpus", [4])
+def test_packing_returns_in_a_fresh_process(cpus):
+    """With the process's default threads: a threaded linear algebra library once blocked the driver here."""
+    code = f"""
+from bazaarlake.session import local_session
+from bazaarlake.llm.packing import op9_packing
+print("sequences", op9_packing(local_session({cpus}), "/root/testdata/sf0.01").select("sequence_id").distinct().count())
+"""
+    threads = ("OPENBLAS_NUM_THREADS", "OMP_NUM_THREADS", "MKL_NUM_THREADS", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")
+    env = {k: v for k, v in os.environ.items() if k not in threads} | {"PYTHONPATH": os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))}
+    done = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=180)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert 442 <= int(done.stdout.split("sequences")[1]) <= 445  # 442 is the least possible
