@@ -133,10 +133,25 @@ def small_model(steps=60):
     model = attention_lm.prepared(near, np.arange(51) % 2 == 0)
     adam = attention_lm.Adam(model.weights)
     for turn in range(steps // 6):
-        attention_lm.learn(model, adam, sample, turn, 1)
+        attention_lm.learn(model, adam, sample, turn, 1, 1)
     return model, sample
 
 
+def test_every_text_is_learned_from():
+    """Over the rounds: one in SHARE / ROUNDS windows of a text, each once; of a text with fewer windows one."""
+    rng = np.random.default_rng(4)
+    texts = [np.append(rng.integers(0, 50, n), 50) for n in (0, 1, 15, 16, 100, 230, 240, 255, 300, 5000, *range(3, 200, 7))]
+    stream = attention_lm.Stream(texts, 50)
+    picks = [attention_lm.chosen(stream, texts, turn).tolist() for turn in range(attention_lm.ROUNDS)]
+    picked = [k for p in picks for k in p]
+    assert len(set(picked)) == len(picked) and all(stream.nth[k] > 0 for k in picked)
+    step = attention_lm.SHARE // attention_lm.ROUNDS
+    for t, text in enumerate(texts):
+        windows = -(-len(text) // attention_lm.STEP)
+        own = sorted(int(stream.nth[k]) for k in picked if stream.text[k] == t)
+        assert len(own) == 1 if windows < step else own == [k for k in range(1, windows + 1) if k % step == own[0] % step]
+
+
 def plain_score(model, text):
     """log10 probability of ids, token by token, from formulas."""
     w, total = {k: x.astype(float) for k, x in model.weights.items()}, 0.0
@@ -183,9 +198,9 @@ def test_model_comes_from_all_training_documents(spark, monkeypatch):
     assert {(a, b): cells[a, b] for a, b in zip(*np.nonzero(cells))} == want
     mass = np.bincount(model.cell, near[:, : attention_lm.NEAR].sum(axis=1) + 0.5, after.shape[0])
     known = attention_lm.with_order(model, mass, after)
-    n, weights = attention_lm.learned(df, send(known), "<u2", 0, 1)
+    n, weights = attention_lm.learned(df, send(known), "<u2", 0, 1, 1)
     assert n == sum(-(-len(x) // attention_lm.STEP) for x in ids[10:])
-    each = [attention_lm.learned(df, send(known), "<u2", turn, 4)[0] for turn in range(4)]
+    each = [attention_lm.learned(df, send(known), "<u2", turn, 4, 4)[0] for turn in range(4)]
     assert sum(each) == n and min(each) > n / 5
     first, second, third = (attention_lm.scores(m, ids[:10]).sum() for m in (model, known, attention_lm.replace(known, weights=weights)))
     assert first < second < third
