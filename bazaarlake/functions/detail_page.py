@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaarlake.functions import normalise as nrm
@@ -31,25 +33,43 @@ def plain(markup: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once a row however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fields(html: Column) -> Column:
     """Struct (description, heading, price, listing_date, view_count); null if description, heading or price table is missing.
 
     The price has the digits of the last row of the table in the price cell; it is null if there are none.
     """
-    description = plain(part(html, opening("div", DESCRIPTION) + r"(.*?)</div\s*>"))
-    heading = plain(part(html, opening(r"\w+", HEADING) + r"(.*?)</(?:h\d|div|span|td|p|b|a)\s*>"))
-    cell = part(html, opening("td", PRICES) + r"(.*)")
-    table = part(cell, r"<table\b[^>]*>(.*?)</table\s*>")
-    row = part(table, r".*<tr\b[^>]*>(.*)")
-    stamp = plain(part(html, opening("div", STAMP) + r"(.*?)</div\s*>"))
-    value = F.struct(
-        description.alias("description"),
-        heading.alias("heading"),
-        nrm.price(plain(row)).alias("price"),
-        nrm.listing_date(stamp).alias("listing_date"),
-        nrm.view_count(plain(cell)).alias("view_count"),
+    parts = F.struct(
+        plain(part(html, opening("div", DESCRIPTION) + r"(.*?)</div\s*>")).alias("description"),
+        plain(part(html, opening(r"\w+", HEADING) + r"(.*?)</(?:h\d|div|span|td|p|b|a)\s*>")).alias("heading"),
+        part(html, opening("td", PRICES) + r"(.*)").alias("cell"),
+        plain(part(html, opening("div", STAMP) + r"(.*?)</div\s*>")).alias("stamp"),
     )
-    return F.when(description.isNotNull() & heading.isNotNull() & row.isNotNull(), value)
+
+    def made(p: Column) -> Column:
+        row = part(part(p.cell, r"<table\b[^>]*>(.*?)</table\s*>"), r".*<tr\b[^>]*>(.*)")
+        return let(row, lambda row: F.when(p.description.isNotNull() & p.heading.isNotNull() & row.isNotNull(), F.struct(
+            p.description.alias("description"),
+            p.heading.alias("heading"),
+            nrm.price(plain(row)).alias("price"),
+            nrm.listing_date(p.stamp).alias("listing_date"),
+            nrm.view_count(plain(p.cell)).alias("view_count"),
+        )))
+
+    return let(parts, made)
+
+
+def with_fields(pages: DataFrame, html: Column) -> DataFrame:
+    """pages with the columns of fields(html), and parsed: whether the page has the parts. Each page is parsed once.
+
+    Made into a row of their own (inline), so that the optimiser can't repeat the parse for each column that is used.
+    """
+    made = pages.select("*", F.inline_outer(F.array(fields(html))))
+    return made.withColumn("parsed", F.col("description").isNotNull())
 
 
 def absolute(links: Column, base: str) -> Column:

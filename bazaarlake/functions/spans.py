@@ -56,19 +56,19 @@ def years(text: str) -> list[dict]:
     return first_tier(text, YEAR, accept)
 
 
-def kilometres(number: str, whole: str) -> int:
-    """The value of a mileage as written: thousands by abbreviation, by groups of three, or decimal before an abbreviation."""
-    words = whole.lower().strip()
-    short = re.fullmatch(r"\d+(?:[.,]\d+)?\s*(?:tis(?:íc)?\.?(?:\s*km)?|k\s*(?:km)?|t\.?\s*(?:km)?)|\d+\s*xxx\s*(?:km)?", words)
-    thousands = bool(short) or "***" in whole
-    grouped = re.match(r"\d{1,3}(?:[.,]\d{3}){1,2}", number)
-    if grouped and not thousands:
-        return int(re.sub(r"\D", "", grouped[0]))
-    decimal = re.match(r"(\d+)[.,](\d{1,2})", number)
-    if decimal and thousands:
-        return int(float(f"{decimal[1]}.{decimal[2]}") * 1000)
-    value = int(re.sub(r"\D", "", number) or 0)
-    return value * 1000 if thousands and value < 1000 else value
+#: What beside a number means thousands, without spaces, dots and km.
+THOUSANDS = ("tis", "tisíc", "k", "t", "xxx", "***")
+
+
+def kilometres(number: str, written: str) -> int:
+    """The value of a mileage: its digits, or thousands of them if a sign of thousands stands beside; then one dot or comma is decimal."""
+    parts = re.findall(r"\d+", number)
+    digits = int("".join(parts))
+    if re.sub(r"km|[\d\s.,_]", "", written.lower()) not in THOUSANDS:
+        return digits
+    if len(parts) == 2 and ("." in number or "," in number):
+        return round(float(".".join(parts)) * 1000)
+    return digits if digits >= 1000 else digits * 1000
 
 
 def mileages(text: str) -> list[dict]:

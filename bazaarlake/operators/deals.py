@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,31 +34,66 @@ def quartiles(prices: Column) -> Column:
     return F.when(n > 0, made)
 
 
-def quartiles_of(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """keys, and q1, median, q3, iqr and count of each group's values, as quartiles() has them; groups without a value are left out.
+#: Bins to a doubling of the value: selection looks at exact values within one bin of a group only.
+BINS = 4
+
+
+def bin_of(value: Column) -> Column:
+    """The number of a value's bin; larger values are in the same or a later one."""
+    return (F.signum(value) * F.floor(F.log2(F.abs(value) + 1) * BINS)).cast("int")
+
+
+def values_at(counts: DataFrame, keys: list[str], value: str, ranks: dict[str, Callable[[Column], Column]], groups: list[str] | None = None, deal: Column | None = None, member: Column | None = None) -> DataFrame:
+    """(*keys, *groups, count, and the value at each rank) of each group of counted values, by selection in two passes.
 
-    Equal values are counted before they move, so a group is no larger than its distinct values.
+    counts: keys, value, n and perhaps more. ranks: name to rank, from 1, by a group's count. A row is in one group of its
+    keys, or, with deal (an array of structs of the columns groups), in several; member then tells whether a row of counts is in the
+    group of columns _<group>. The first pass adds counts by bin of value, and finds the bins that hold the ranks. The second
+    fetches the exact values in those bins alone. So a group is never held or sorted whole, however many values it has.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    group = Window.partitionBy(*keys)
-    ranked = counts.withColumn("_to", F.sum("_n").over(group.orderBy(value))).withColumn("_all", F.sum("_n").over(group))
-    n, x = F.col("_all"), F.col(value)
+    groups = groups or []
+    binned = counts.withColumn("_bin", bin_of(F.col(value)))
+    dealt = binned if deal is None else binned.select("*", F.explode(deal).alias("_g")).select(*keys, "_bin", "n", "_g.*")
+    group = [*keys, *groups]
+    sums = dealt.groupBy(*group, "_bin").agg(F.sum("n").alias("_n"))
+    own = Window.partitionBy(*group)
+    upto = F.sum("_n").over(own.orderBy("_bin"))
+    sums = sums.withColumn("count", F.sum("_n").over(own)).withColumn("_before", upto - F.col("_n"))
+    inside = {k: (rank(F.col("count")) > F.col("_before")) & (rank(F.col("count")) <= F.col("_before") + F.col("_n")) for k, rank in ranks.items()}
+    wanted = sums.where(reduce(or_, inside.values())).select(
+        *(F.col(g).alias(f"_{g}") for g in group), F.col("_bin").alias("_b"), "count", *(F.when(inside[k], rank(F.col("count")) - F.col("_before")).alias(f"_at_{k}") for k, rank in ranks.items())
+    )
+    on = F.col("_bin") == F.col("_b")
+    for k in keys:
+        on &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    near = binned.join(wanted, on if member is None else on & member)
+    named = [*(F.col(f"_{g}").alias(g) for g in group)]
+    exact = near.select(*named, "_b", value, "n", "count", *(f"_at_{k}" for k in ranks))
+    exact = exact.withColumn("_to", F.sum("n").over(Window.partitionBy(*group, "_b").orderBy(value)))  # equal values together
+    return exact.groupBy(*group).agg(F.max("count").alias("count"), *(F.min(F.when(F.col("_to") >= F.col(f"_at_{k}"), F.col(value))).alias(k) for k in ranks))
+
 
-    def at(rank: Column) -> Column:
-        return F.min(F.when(F.col("_to") >= rank, x))
+#: The two ranks whose mean is the median.
+MEDIAN = {"_low": lambda n: F.floor((n + 1) / 2), "_high": lambda n: F.floor(n / 2) + 1}
 
-    j = {i: F.greatest(F.least(F.floor(F.lit(i) * (n + 1) / 4), n - 1), F.lit(1)) for i in (1, 3)}
-    places = {"a1": j[1], "b1": j[1] + 1, "a3": j[3], "b3": j[3] + 1, "a2": F.floor((n + 1) / 2), "b2": F.floor(n / 2) + 1, "first": F.lit(1), "last": n}
-    found = ranked.groupBy(*keys).agg(F.max("_all").alias("count"), *(at(rank).alias(f"_{k}") for k, rank in places.items()))
+
+def quartiles_of(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, and q1, median, q3, iqr and count of each group's values, as quartiles() has them; groups without a value are left out."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    place = {i: (lambda n, i=i: F.greatest(F.least(F.floor(F.lit(i) * (n + 1) / 4), n - 1), F.lit(1))) for i in (1, 3)}
+    ranks = {**MEDIAN, "_first": lambda n: F.lit(1), "_last": lambda n: n}
+    for i in (1, 3):
+        ranks |= {f"_a{i}": place[i], f"_b{i}": lambda n, i=i: F.least(place[i](n) + 1, n)}
+    found = values_at(counts, keys, value, ranks)
     n = F.col("count")
 
     def quartile(i: int) -> Column:
-        d = F.lit(i) * (n + 1) - 4 * F.greatest(F.least(F.floor(F.lit(i) * (n + 1) / 4), n - 1), F.lit(1))
+        d = F.lit(i) * (n + 1) - 4 * place[i](n)
         return (F.col(f"_a{i}") * (4 - d) + F.col(f"_b{i}") * d) / 4
 
     q1 = F.when(n >= 4, quartile(1)).otherwise(F.col("_first").cast("double"))
     q3 = F.when(n >= 4, quartile(3)).otherwise(F.col("_last").cast("double"))
-    return found.select(*keys, q1.alias("q1"), ((F.col("_a2") + F.col("_b2")) / 2).alias("median"), q3.alias("q3"), (q3 - q1).alias("iqr"), n.alias("count"))
+    return found.select(*keys, q1.alias("q1"), ((F.col("_low") + F.col("_high")) / 2).alias("median"), q3.alias("q3"), (q3 - q1).alias("iqr"), n.alias("count"))
 
 
 def score(price: Column, median: Column) -> Column:
@@ -74,32 +113,27 @@ def joined_by(rows: DataFrame, stats: DataFrame, keys: list[str], how: str) -> D
 def banded(rows: DataFrame) -> DataFrame:
     """Plausible offers of segments with enough peers, with segment_median, median, peers and confidence.
 
-    Prices are counted by segment and year before they move; a count then goes to each year whose band it is in, so the work
-    grows with the distinct prices of a year, not with a segment's offers squared. Offers meet their segment's and year's
-    medians in equality joins, which Spark splits where a segment is hot. An offer without a year has the whole segment for
-    peers.
+    Prices are counted by segment and year before they move. The medians of the overlapping bands of years are found by
+    selection (values_at): bins of prices, not prices, go to each year whose band they are in. Offers meet their segment's and
+    year's medians in equality joins, which Spark splits where a segment is hot. An offer without a year has the whole
+    segment for peers.
     """
     out = rows.where(plausible_price() & F.col("brand").isNotNull() & F.col("model").isNotNull())
     year = "year_manufacture"
     counts = out.groupBy(*SEGMENT, year, "price").agg(F.count(F.lit(1)).alias("n"))
-    whole = counts.groupBy(*SEGMENT).agg(F.sum("n").alias("segment_size"), F.percentile("price", 0.5, F.col("n")).alias("segment_median"))
-    widest = max(width for width, _ in BANDS)
-    near = counts.where(F.col(year).isNotNull()).select(*SEGMENT, "price", "n", year, F.explode(F.sequence(F.lit(-widest), F.lit(widest))).alias("away"))
-    near = near.withColumn(year, F.col(year) + F.col("away"))
-    columns = []
-    for width, _ in BANDS:
-        n = F.when(F.abs("away") <= width, F.col("n")).otherwise(0)
-        columns += [F.sum(n).alias(f"n{width}"), F.percentile("price", 0.5, n).alias(f"m{width}")]
-    bands = near.groupBy(*SEGMENT, year).agg(*columns)
-    out = joined_by(out, whole.where(F.col("segment_size") >= MIN_PEERS), SEGMENT, "inner")
-    out = joined_by(out, bands, [*SEGMENT, year], "left")
-    median, peers, confidence = F.col("segment_median"), F.col("segment_size"), F.lit("low")
-    for width, name in reversed(BANDS):
-        enough = F.col(year).isNotNull() & (F.col(f"n{width}") >= MIN_PEERS)
-        median = F.when(enough, F.col(f"m{width}")).otherwise(median)
-        peers = F.when(enough, F.col(f"n{width}")).otherwise(peers)
-        confidence = F.when(enough, name).otherwise(confidence)
-    return out.withColumn("median", median).withColumn("peers", peers).withColumn("confidence", confidence)
+    band = lambda center, width: F.struct(center.cast("int").alias("center"), F.lit(width).alias("width"))
+    whole = F.array(band(F.lit(None), 0))
+    near = lambda w: F.transform(F.sequence(F.col(year) - w, F.col(year) + w), lambda c: band(c, w))
+    deal = F.concat(whole, *(near(w) for w, _ in BANDS))
+    member = (F.col("_width") == 0) | (F.abs(F.col(year) - F.col("_center")) <= F.col("_width"))
+    found = values_at(counts, SEGMENT, "price", MEDIAN, ["center", "width"], F.when(F.col(year).isNull(), whole).otherwise(deal), member)
+    found = found.where(F.col("count") >= MIN_PEERS).withColumn("m", (F.col("_low") + F.col("_high")) / 2)
+    segments = found.where("width = 0").select(*SEGMENT, F.col("count").alias("segment_size"), F.col("m").alias("segment_median"))
+    best = F.min_by(F.struct("m", "count", "width"), "width").alias("best")  # the narrowest band with enough peers
+    bands = found.where("width > 0").groupBy(*SEGMENT, F.col("center").alias(year)).agg(best)
+    out = joined_by(joined_by(out, segments, SEGMENT, "inner"), bands, [*SEGMENT, year], "left")
+    names = reduce(lambda c, b: c.when(F.col("best.width") == b[0], b[1]), BANDS, F.when(F.lit(False), "")).otherwise("low")
+    return out.withColumns({"median": F.coalesce("best.m", "segment_median"), "peers": F.coalesce("best.count", "segment_size"), "confidence": names}).drop("best")
 
 
 def find_deals(

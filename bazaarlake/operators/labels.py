@@ -5,7 +5,7 @@ A labelled text has entities, an array of structs (start, end, label); end is ex
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Labels, the more important first.
@@ -47,21 +47,45 @@ def pairs(rows: DataFrame, id_col: str = "id") -> DataFrame:
 
 
 def overlapping(rows: DataFrame, id_col: str = "id") -> DataFrame:
-    return pairs(rows, id_col).where(overlap(F.col("a"), F.col("b")))
+    """(id, i, j, a, b): each pair of spans of one text that overlap, by a sweep over starts and ends in order.
+
+    At a span's end, the starts so far tell how many spans begin before it; those that begin after the span itself follow
+    it directly in order of start. So the rows made are as many as the overlaps, not the pairs. (Spans that end where or before
+    they start are tested once more, as their start alone doesn't tell.)
+    """
+    spans = rows.select(F.col(id_col).alias("_id"), F.posexplode("entities").alias("i", "e"))
+    text = Window.partitionBy("_id")
+    placed = spans.withColumn("place", F.row_number().over(text.orderBy("e.start", "i")))
+    edges = F.explode(F.array(F.struct(F.col("e.start").alias("at"), F.lit(1).alias("starts")), F.struct(F.col("e.end").alias("at"), F.lit(0).alias("starts"))))
+    swept = placed.select("*", edges.alias("edge")).select("*", "edge.*")
+    # An end stands before the starts at the same place: they don't overlap.
+    begun = F.sum("starts").over(text.orderBy("at", "starts", "place").rowsBetween(Window.unboundedPreceding, 0))
+    ends = swept.withColumn("begun", begun).where("starts = 0 and begun > place")
+    nexts = F.explode(F.sequence(F.col("place") + 1, F.col("begun").cast("int"))).alias("place")
+    first = ends.select("_id", F.col("i").alias("i1"), F.col("e").alias("e1"), nexts)
+    met = first.join(placed.select("_id", "place", F.col("i").alias("i2"), F.col("e").alias("e2")), ["_id", "place"]).where(overlap(F.col("e1"), F.col("e2")))
+    ahead = F.col("i1") < F.col("i2")
+    ordered = [F.least("i1", "i2").alias("i"), F.greatest("i1", "i2").alias("j"), F.when(ahead, F.col("e1")).otherwise(F.col("e2")).alias("a"), F.when(ahead, F.col("e2")).otherwise(F.col("e1")).alias("b")]
+    return met.select(F.col("_id").alias(id_col), *ordered)
 
 
 def issues(rows: DataFrame, id_col: str = "id", size: Column | None = None) -> DataFrame:
     """(issue, n): how many spans and pairs of spans have each kind of fault."""
     size = F.length("text") if size is None else size
-    each = rows.select(size.alias("size"), F.explode("entities").alias("e"))
+    each = rows.select(F.col(id_col).alias("_id"), size.alias("size"), F.explode("entities").alias("e"))
     single = F.array(
         F.when(F.col("e.start") < 0, "NEGATIVE_SPAN"), F.when(F.col("e.start") >= F.col("e.end"), "INVALID_SPAN_ORDER"), F.when(F.col("e.end") > F.col("size"), "OUT_OF_BOUNDS")
     )
+    pairs_of = lambda n: F.expr(f"{n} * ({n} - 1) div 2")
+    # Equal spans are counted, not paired.
+    labels = each.groupBy("_id", "e.start", "e.end", "e.label").agg(F.count(F.lit(1)).alias("k"))
+    places = labels.groupBy("_id", "start", "end").agg(F.sum("k").alias("n"), F.sum(pairs_of("k")).alias("same"))
+    equal = places.agg(F.sum("same").alias("DUPLICATE"), F.sum(pairs_of("n") - F.col("same")).alias("SAME_SPAN_DIFFERENT_LABELS"))
+    equal = equal.select(F.explode(F.array(*(F.struct(F.lit(c).alias("issue"), F.col(c).alias("n")) for c in equal.columns))).alias("x")).select("x.*")
     a, b = F.col("a"), F.col("b")
-    same = (a.start == b.start) & (a.end == b.end)
-    double = F.when(same & (a.label == b.label), "DUPLICATE").when(same, "SAME_SPAN_DIFFERENT_LABELS").when(overlap(a, b), "OVERLAP")
-    found = each.select(F.explode(single).alias("issue")).union(pairs(rows, id_col).select(double))
-    return found.where("issue is not null").groupBy("issue").agg(F.count(F.lit(1)).alias("n"))
+    unlike = overlapping(rows, id_col).where((a.start != b.start) | (a.end != b.end)).select(F.lit("OVERLAP").alias("issue"))
+    found = each.select(F.explode(single).alias("issue")).union(unlike).where("issue is not null")
+    return found.groupBy("issue").agg(F.count(F.lit(1)).alias("n")).union(equal.where("n > 0"))
 
 
 def label_counts(rows: DataFrame) -> DataFrame:

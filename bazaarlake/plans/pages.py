@@ -8,7 +8,7 @@ from bazaarlake.functions import detail_page, labelling
 from bazaarlake.operators import edits, label_quality, model_match
 from bazaarlake.operators.changing import removed_repeats
 from bazaarlake.operators.filters import is_car_by_keywords
-from bazaarlake.sources.listings import AS_OF_YEAR, LISTINGS_SQL, listings, table
+from bazaarlake.sources.listings import AS_OF_YEAR, LISTINGS_SQL, listings, spread, table
 
 BASE = "https://auto.example.org"
 
@@ -30,8 +30,8 @@ def detail_pages(spark, sf_dir):
         '<html><div class="inzeratydetnadpis"><h1 class=nadpisdetail> ', F.col("model"), " &amp; co </h1><span>[", day, ']</span></div><div class="x popisdetail">\n  Prodám <b>', F.col("model"), "</b>,<br>číslo ", number("id"), " </div>",
         F.when(F.col("id") % 10 != 0, prices).otherwise(F.lit("")), "</html>",
     )
-    found = listings(spark, sf_dir).select("id", detail_page.fields(page).alias("f"))
-    return found.select("id", F.col("f").isNotNull().alias("parsed"), "f.*")
+    rows = spread(listings(spark, sf_dir), table(spark, sf_dir, "orders")).select("id", page.alias("html"))
+    return detail_page.with_fields(rows, F.col("html")).drop("html")
 
 
 def result_links(spark, sf_dir):
