@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from bazaarlake.operators import labels as lab
 from bazaarlake.operators import state
+from bazaarlake.operators.stored_state import KeyedState
 from bazaarlake.sources import files
+from bazaarlake.sources.folders import shared
 from bazaarlake.sources.listings import LISTINGS_SQL, dimensions, listings, offers, table
 from bazaarlake.streaming import ingest
 
@@ -65,6 +67,30 @@ def upserted_keeping(spark, sf_dir):
     return state.upsert(old, new, "id", "version", keep_old=("fuel",))
 
 
+def stored_upsert(spark, sf_dir):
+    """The state is written, changed by two batches, of which one comes twice, and read again."""
+    old, new = old_and_new(spark, sf_dir)
+    kept = KeyedState(shared(spark, "offers"), "id", "version", "id bigint, price int, fuel string, version int")
+    kept.merge(old)
+    for batch, rows in ((1, new.where("version = 1")), (2, new.where("version = 2")), (1, new.where("version = 1"))):
+        kept.merge(rows, batch)
+    return kept.read(spark)
+
+
+def filed_outcomes(spark, sf_dir):
+    """Urls with a host that can't be read as a number fail, one kind is filtered, and the others are saved; all is filed twice."""
+
+    def number(row):
+        return {"shard": int(row["url"].split("/")[3 if row["page_id"] % 3 else 99])}
+
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("http://h.org/"), (F.col("page_id") % 5).cast("string"), F.lit("/x")).alias("url"))
+    worked = ingest.guarded(pages, number, "shard int").withColumn("reason", F.when(F.col("shard") == 0, "no shard"))
+    folder = shared(spark, "outcomes")
+    for _ in range(2):
+        ingest.file_outcomes(worked, folder, 0)
+    return ingest.filed(spark, folder).select("page_id", "status", "shard", F.col("error").isNotNull().alias("has_error"))
+
+
 def cascade(spark, sf_dir):
     brands, models = dimensions(spark, sf_dir)
     left = state.delete_cascade(brands, models, offers(spark, sf_dir), F.col("name") == "ASIA")
@@ -127,6 +153,8 @@ QUERIES = {
     "w5_latest_session": lambda s, d: table(s, d, "events").where("event_type <> 'purchase'").orderBy(F.desc("ts"), "event_id").limit(1).select("event_id", "user_id"),
     "p5_s14_upsert": upserted,
     "p6_upsert_keeping": upserted_keeping,
+    "p5_stored_upsert": stored_upsert,
+    "p1_filed_outcomes": filed_outcomes,
     "p7_delete_cascade": cascade,
     "p1_p3_resume": resume,
     "p9_replace_values": mapped_values,
@@ -156,6 +184,9 @@ ORACLE_SQL = {
     "w4_ranked_pick": "select user_id, event_type from (select *, row_number() over (partition by user_id order by value desc, event_id) as k from events) where k = 1",
     "w5_latest_session": "select event_id, user_id from events where event_type <> 'purchase' order by ts desc, event_id limit 1",
     "p5_s14_upsert": f"{UPSERTED} select * from new union all select * from old where id not in (select id from new)",
+    "p5_stored_upsert": f"{UPSERTED} select * from new union all select * from old where id not in (select id from new)",
+    "p1_filed_outcomes": """select page_id, case when page_id % 3 = 0 then 'failed' when page_id % 5 = 0 then 'filtered' else 'saved' end as status,
+ cast(case when page_id % 3 <> 0 then page_id % 5 end as int) as shard, page_id % 3 = 0 as has_error from pages""",
     "p6_upsert_keeping": f"{UPSERTED} select id, price, case when id in (select id from old) then 'old' else fuel end as fuel, version from new union all select * from old where id not in (select id from new)",
     "p7_delete_cascade": "select c_nationkey as model_id, count(*) as n from orders join customer on o_custkey = c_custkey join nation on n_nationkey = c_nationkey join region on r_regionkey = n_regionkey where r_name <> 'ASIA' group by 1",
     "p1_p3_resume": "select page_id, url from pages where page_id % 4 in (1, 3)",
