@@ -63,3 +63,59 @@ def places(text: Column, mileage: Column, year: Column, power: Column, fuel: Col
         word_place(F.lower(text), F.lower(fuel), "FUEL"),
     ]
     return F.filter(F.array(*parts), lambda x: x.isNotNull())
+
+
+#: Of the detectors' patterns those that suggest labels, and the years that are suggested.
+SUGGESTING = {"MILEAGE": DETECTORS["mileage"][:6], "YEAR": DETECTORS["year"][1:], "POWER": DETECTORS["power"], "FUEL": DETECTORS["fuel"]}
+SUGGESTED_YEARS = (1990, 2030)
+
+
+PLACES = "array<struct<start:int,end:int>>"
+
+
+def all_places(text: Column, pattern: str) -> Column:
+    """Array of structs (start, end) of all matches from left to right: what stands between them tells where they are."""
+    none = F.array().cast(PLACES)
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.length(x))
+    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
+
+    def add(held: Column, m: Column) -> Column:
+        start = F.coalesce(F.try_element_at(held, F.lit(-1)).end, F.lit(0)) + m.gap
+        return F.concat(held, F.array(F.struct(start.alias("start"), (start + m["size"]).alias("end"))))
+
+    # The last gap, after all matches, has no size.
+    zipped = F.zip_with(found, gaps, lambda f, b: F.struct(f.alias("size"), b.alias("gap")))
+    return F.when(text.rlike(pattern), F.aggregate(F.filter(zipped, lambda m: m["size"].isNotNull()), none, add)).otherwise(none)
+
+
+def suggestions(text: Column) -> Column:
+    """Array of structs (start, end, label) that an annotator may accept, by label and place: of matches that start at one place the longest.
+
+    Those of one label may overlap if they start apart, as do those of different labels; operators.labels.without_overlaps chooses.
+    """
+    made = []
+    for label, patterns in SUGGESTING.items():
+        places = F.flatten(F.array(*(all_places(text, f"(?iU){p}") for p in patterns)))
+        if label == "YEAR":
+            year = lambda e: F.substring(text, e.start + 1, e.end - e.start).cast("int")
+            places = F.filter(places, lambda e: year(e).between(*SUGGESTED_YEARS))
+        longest = F.aggregate(F.array_sort(places), F.array().cast("array<struct<start:int,end:int>>"), later_of_equal_starts)
+        made.append(labelled_as(longest, label))
+    return F.coalesce(F.concat(*made), F.array().cast("array<struct<start:int,end:int,label:string>>"))
+
+
+def later_of_equal_starts(held: Column, e: Column) -> Column:
+    """held with e, in place of the last one if that starts where e does; places come in order of start and end."""
+    last = F.try_element_at(held, F.lit(-1))
+    return F.when(last.start == e.start, F.concat(F.slice(held, F.lit(1), F.size(held) - 1), F.array(e))).otherwise(F.concat(held, F.array(e)))
+
+
+def labelled_as(places: Column, label: str) -> Column:
+    return F.transform(places, lambda e: F.struct(e.start.alias("start"), e.end.alias("end"), F.lit(label).alias("label")))
+
+
+def value_place(text: Column, value: Column) -> Column:
+    """Struct (start, end) of where a reviewed value stands: as written, or else without regard to case; null if nowhere or empty."""
+    exact, folded = F.call_function("locate", value, text), F.call_function("locate", F.lower(value), F.lower(text))
+    at = F.when(exact > 0, exact).when(folded > 0, folded)
+    return F.when((value != "") & at.isNotNull(), F.struct((at - 1).alias("start"), (at - 1 + F.length(value)).alias("end")))

@@ -8,7 +8,9 @@ from bazaarlake.functions import detail_page, labelling
 from bazaarlake.operators import edits, label_quality, model_match
 from bazaarlake.operators.changing import removed_repeats
 from bazaarlake.operators.filters import is_car_by_keywords
-from bazaarlake.sources.listings import AS_OF_YEAR, LISTINGS_SQL, listings, spread, table
+from bazaarlake.operators.labels import without_overlaps
+from bazaarlake.sources import shapes
+from bazaarlake.sources.listings import AS_OF_YEAR, LISTINGS_SQL, described, listings, spread, table
 
 BASE = "https://auto.example.org"
 
@@ -73,6 +75,49 @@ def models(spark, sf_dir):
     return model_match.with_model(rows, model_match.dictionary(spark, MODELS, ALIASES)).select("id", "model")
 
 
+#: A dictionary of 24 brands with 60 models each, by rule: series and number, as `serie 12` or `serie-12 gt`.
+MANY = {f"brand{b}": [f"{'abcdefghij'[m % 10]}{b}{'- .'[m % 3]}{m}{' gt' * (m % 4 == 0)}" for m in range(60)] for b in range(24)}
+
+
+def many_models(spark, sf_dir):
+    """Headings that vary by row: a model of the row's brand, its separator written in one of four ways, after a number of the id."""
+    b, m = F.col("id") % 24, (F.col("id") * 7) % 60
+    number = m.cast("string")
+    between = F.get(F.array(F.lit(" "), F.lit("-"), F.lit("."), F.lit("")), (F.col("id") % 4).cast("int"))
+    name = F.concat(F.get(F.split(F.lit("a,b,c,d,e,f,g,h,i,j"), ","), (m % 10).cast("int")), b.cast("string"), between, number, F.when(m % 4 == 0, F.concat(between, F.lit("GT"))).otherwise(""))
+    told = F.concat(F.lit("č. "), F.col("id").cast("string"), F.lit("z, Prodám  "), F.upper(name), F.lit(", "), F.col("model"))
+    in_heading = F.col("id") % 5 != 0
+    rows = listings(spark, sf_dir).select("id", F.concat(F.lit("brand"), b.cast("string")).alias("brand"), F.when(in_heading, told).otherwise(F.col("fuel")).alias("heading"), F.when(~in_heading & (F.col("id") % 10 != 0), told).alias("description"))
+    return model_match.with_models(rows, MANY, {}).select("id", "model")
+
+
+def suggested(spark, sf_dir):
+    """Suggested labels of the listings' texts, and which of them are chosen."""
+    rows = described(listings(spark, sf_dir)).select("id", "text")
+    rows = spread(rows, table(spark, sf_dir, "orders")).select("id", labelling.suggestions(F.col("text")).alias("all"))
+    found = rows.select("id", "all", without_overlaps(F.col("all")).alias("chosen")).select("id", "chosen", F.explode_outer("all").alias("e"))  # outer: a filter on "all" would make it twice
+    return found.where("e is not null").select("id", "e.*", F.array_contains("chosen", F.col("e")).alias("chosen"))
+
+
+#: Shapes of labelled examples by the id's remainder of 8; VALUE is the listing's model, PRICE its price.
+SHAPES = [
+    '["VALUE PRICE km", {"entities": [[0, 2, "YEAR"]]}]',
+    '["VALUE", {"entities": [[0, 999, "YEAR"], [0, 1, "BRAND"]]}]',
+    '["VALUE", {"entities": [[0, 1]]}]',
+    '["VALUE", {"entities": "PRICE"}]',
+    '["VALUE", {"spans": []}]',
+    '[PRICE, {"entities": []}]',
+    '{"text": "VALUE"}',
+    '["VALUE", {"entities": [["0", 1, "YEAR"], [0, 1, PRICE], [1, 1, "FUEL"]]}]',
+]
+
+
+def shape_faults(spark, sf_dir):
+    shape = F.get(F.array(*(F.lit(x) for x in SHAPES)), (F.col("id") % 8).cast("int"))
+    said = F.replace(F.replace(shape, F.lit("VALUE"), F.col("model")), F.lit("PRICE"), F.col("price").cast("string"))
+    rows = listings(spark, sf_dir).select(F.col("brand").alias("file"), F.col("id").alias("place"), F.parse_json(said).alias("example"))
+    return shapes.report(rows)
+
 #: By the id's remainder of 8: a text, and whether it tells mileage, year, power and fuel.
 TOLD = [
     ("najeto 150 tis km", 1, 0, 0, 0),
@@ -167,6 +212,9 @@ QUERIES = {
     "s5_result_links": result_links,
     "s7_brand_menu": brand_menu,
     "j11_models_by_dictionary": models,
+    "j11_many_models": many_models,
+    "x21_suggestions": suggested,
+    "l4_shape_faults": shape_faults,
     "f12_legacy_car_filter": lambda s, d: listings(s, d).select("id", is_car_by_keywords(F.when(F.col("id") % 9 != 0, F.col("model")), F.get(F.array(*map(F.lit, ["Octavia 2.0", "zimní PNEU", "Sada kol", "motory", "Alu kola R17"])), (F.col("id") % 5).cast("int")), F.col("price")).alias("is_car")),
     "f16_all_detectors": detectors,
     "x24_places_of_values": places,
@@ -186,6 +234,12 @@ ORACLE_SQL = {
     "s5_result_links": f"{L} select id, place, '{BASE}/inzerat/' || id || case place when 0 then '/x.php' else '/y.php' end as url from listings, (values (0), (1)) as p(place)",
     "s7_brand_menu": f"select r_regionkey, 'brand' || k as brand, '{BASE}/brand' || k || '/' as url from region, range(1, 25) as t(k)",
     "j11_models_by_dictionary": f"{L} select id, v.model from listings join {values([(k, h[3]) for k, h in enumerate(HEADINGS)], 'k, model')} on id % 10 = k",
+    "j11_many_models": f"""{L}, x as (select id, id % 24 as b, id * 7 % 60 as m from listings)
+ select id, case when id % 10 <> 0 then substr('abcdefghij', cast(m % 10 as int) + 1, 1) || b || case m % 3 when 0 then '-' when 1 then ' ' else '.' end || m || case when m % 4 = 0 then ' gt' else '' end end as model from x""",
+    "l4_shape_faults": f"""{L}, n as (select id % 8 as k, count(*) as n from listings group by 1), f(k, level, fault) as (values (1, 'error', 'invalid positions'), (1, 'warning', 'unknown label'),
+ (2, 'error', 'entity not a triple'), (3, 'error', 'entities not a list'), (4, 'error', 'no entities'), (5, 'error', 'text not a string'), (6, 'error', 'not a pair'),
+ (7, 'error', 'positions not integers'), (7, 'error', 'label not a string'), (7, 'error', 'invalid positions'))
+ select level, fault, cast(sum(n) as bigint) as n from f join n using (k) group by all""",
     "f12_legacy_car_filter": f"{L} select id, id % 9 <> 0 and price >= 5000 and id % 5 in (0, 3) as is_car from listings",
     "f16_all_detectors": f"{L} select id, " + ", ".join(f"v.{k} = 1 as has_{k}" for k in labelling.DETECTORS) + f" from listings join {values([(k, *t[1:]) for k, t in enumerate(TOLD)], 'k, mileage, year, power, fuel')} on id % 8 = k",
     "x24_places_of_values": f"""{L}, x as (select id, year_manufacture as y, power as p, 5 + coalesce(length(cast(year_manufacture as varchar)), 1) as n from listings)
