@@ -75,15 +75,15 @@ def fill_in_middle(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     kept = docs.drop(*(c for c in docs.columns if c.lower() in ADDED))
     # A row's columns move as one value, so that every use below reads the same shuffle of the texts.
-    whole_row = F.array(F.struct(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(*kept.columns).alias("kept")))
-    dealt = kept.select(F.monotonically_increasing_id().alias("_row"), whole_row.alias("_all")).repartition("_row")
+    dealt = kept.select(F.monotonically_increasing_id().alias("_row"), F.array(F.struct(*kept.columns)).alias("_all")).repartition("_row")
     d = F.element_at("_all", 1)
-    h = draws(d["id"])
-    narrow = dealt.select("_row", d["text"].alias("text"), h[0].alias("h1"), h[1].alias("h2"))
+    key, whole = d[id_col], F.coalesce(d[text_col], F.lit(""))
+    h = draws(key)
+    narrow = dealt.select("_row", whole.alias("text"), h[0].alias("h1"), h[1].alias("h2"))
     at = [F.col(f"h{k}") % (F.col("n") + 1) for k in (1, 2)]
     offsets = cut_offsets(narrow, {"_first": F.least(*at), "_second": F.greatest(*at)}, unit)
     numbers = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n", "_first", "_second")]
-    cut = dealt.join(offsets.hint("shuffle_hash"), "_row", "left").select(*numbers, d["id"].alias("_id"), d["text"].alias("_text"), d["kept"].alias("_kept"))
+    cut = dealt.join(offsets.hint("shuffle_hash"), "_row", "left").select(*numbers, key.alias("_id"), whole.alias("_text"), d.alias("_kept"))
     text, h = F.col("_text"), draws(F.col("_id"))
     marked = text.contains(PREFIX) | text.contains(SUFFIX) | text.contains(MIDDLE)
     form = F.when((text == "") | marked | (h[2] % 100 >= 100 - plain_of_100), "plain").when(h[3] % 100 < spm_of_100, "spm").otherwise("psm")
