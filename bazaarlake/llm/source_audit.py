@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
@@ -37,7 +38,9 @@ FIRST_RANKS = 50
 SHARE = 1_000_000_000
 SMOOTH = 5
 TERMS = 200_000
-HELD = 200_000
+HELD = 400_000
+#: (language, source) groups up to this many are broadcast; more are joined by shuffles.
+FEW_GROUPS = 100_000
 TERMS_AT_ONCE = 4096
 SOURCES_AT_ONCE = 256
 
@@ -60,27 +63,27 @@ def columns_of(batch: pa.RecordBatch) -> zip:
 
 def document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, term, n): documents of the task with the term, perhaps in several rows."""
-    held: Counter = Counter()
+    held: dict[str, Counter] = defaultdict(Counter)
 
-    def rows() -> pa.RecordBatch:
-        keys = list(held)
-        made = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1].decode() for k in keys], pa.string()), pa.array(list(held.values()), pa.int64())]
-        return pa.RecordBatch.from_arrays(made, ["lang", "term", "n"])
+    def rows() -> Iterator[pa.RecordBatch]:
+        for lang, counts in held.items():
+            made = [pa.array([lang]).take(pa.array(np.zeros(len(counts), int))), pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays(made, ["lang", "term", "n"])
+        held.clear()
 
     for batch in batches:
         for lang, _, text in columns_of(batch):
-            held.update((lang, t) for t in set(terms_of(text)))
-            if len(held) > HELD:
-                yield rows()
-                held.clear()
-    yield rows()
+            held[lang].update(set(terms_of(text)))
+        if sum(map(len, held.values())) > HELD:
+            yield from rows()
+    yield from rows()
 
 
 def automata(terms: list[tuple[str, str]]) -> dict[str, ahocorasick.Automaton]:
-    """An automaton for each language, of its terms between delimiters."""
+    """An automaton for each language, of its terms between delimiters; a match's value is the term's place in the list."""
     made: dict[str, ahocorasick.Automaton] = defaultdict(ahocorasick.Automaton)
-    for lang, term in terms:
-        made[lang].add_word(f" {term} ", term)
+    for k, (lang, term) in enumerate(terms):
+        made[lang].add_word(f" {term} ", k)
     for one in made.values():
         one.make_automaton()
     return dict(made)
@@ -88,23 +91,23 @@ def automata(terms: list[tuple[str, str]]) -> dict[str, ahocorasick.Automaton]:
 
 def occurrences(batches: Iterator[pa.RecordBatch], terms: list[tuple[str, str]]) -> Iterator[pa.RecordBatch]:
     """POSTINGS of the task for the terms (lang, term), perhaps in several rows."""
-    found = automata(terms)
+    found, names, place = automata(terms), pa.array([t for _, t in terms], pa.string()), itemgetter(1)
     held: dict[tuple[str, str], Counter] = defaultdict(Counter)
 
-    def rows() -> pa.RecordBatch:
-        flat = [(*group, term, n) for group, counts in held.items() for term, n in counts.items()]
-        made = [pa.array([r[k] for r in flat], t) for k, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64()))]
-        return pa.RecordBatch.from_arrays(made, ["lang", "source", "term", "n"])
+    def rows() -> Iterator[pa.RecordBatch]:
+        for group, counts in held.items():
+            made = [pa.array([c]).take(pa.array(np.zeros(len(counts), int))) for c in group]
+            made += [names.take(pa.array(list(counts), pa.int64())), pa.array(list(counts.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays(made, ["lang", "source", "term", "n"])
+        held.clear()
 
     for batch in batches:
         for lang, source, text in columns_of(batch):
             if lang in found and (words := terms_of(text)):
-                padded = f" {b' '.join(words).decode()} "
-                held[lang, source].update(term for _, term in found[lang].iter(padded))
+                held[lang, source].update(map(place, found[lang].iter(f" {b' '.join(words).decode()} ")))
         if sum(map(len, held.values())) > HELD:
-            yield rows()
-            held.clear()
-    yield rows()
+            yield from rows()
+    yield from rows()
 
 
 def kept_terms(texts: DataFrame, min_docs: int) -> DataFrame:
@@ -132,19 +135,28 @@ def share(count: Column, total: Column, terms: Column) -> Column:
     return F.when(terms > 0, 1 + F.call_function("div", whole, part)).otherwise(1)
 
 
+def small(groups: DataFrame) -> DataFrame:
+    """groups, to be broadcast if they are few."""
+    return F.broadcast(groups) if groups.count() <= FEW_GROUPS else groups
+
+
+def with_blocks(groups: DataFrame) -> DataFrame:
+    """groups with the number of blocks that the sources and the terms of their language are dealt to."""
+    sizes = groups.groupBy("lang").agg(F.sum("total").alias("lang_total"), F.ceil(F.count("*") / SOURCES_AT_ONCE).alias("source_blocks"), F.greatest(F.ceil(F.max("terms") / TERMS_AT_ONCE), F.lit(1)).alias("term_blocks"))
+    return groups.join(sizes, "lang")
+
+
 def summed_differences(groups: DataFrame, valued: DataFrame) -> DataFrame:
     """(lang, source, item, value) of every two sources. groups: (lang, source, terms, none), valued: (lang, source, term, p)."""
-    source_block = F.pmod(F.xxhash64("source"), F.col("source_blocks"))
-    blocks = groups.groupBy("lang").agg(F.ceil(F.count("*") / SOURCES_AT_ONCE).alias("source_blocks"), F.ceil(F.max("terms") / TERMS_AT_ONCE).alias("term_blocks"))
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(n, F.lit(1)) - 1))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     meets = F.struct(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
 
     def dealt(rows: DataFrame, part: Column) -> DataFrame:  # to every task in which the source's block meets another
-        rows = rows.join(blocks, "lang").withColumn("part", part).withColumn("own", source_block)
-        return rows.withColumn("other", each(F.col("source_blocks"))).withColumn("m", meets)
+        rows = rows.withColumn("part", part).withColumn("own", F.pmod(F.xxhash64("source"), F.col("source_blocks")))
+        return rows.withColumn("other", each("source_blocks")).withColumn("m", meets)
 
-    heads = dealt(groups.select("lang", "source", "none", F.lit(None).cast("string").alias("term"), F.lit(None).cast("long").alias("p")), each(F.col("term_blocks")))
-    body = dealt(valued.select("lang", "source", F.lit(None).cast("long").alias("none"), "term", "p"), F.pmod(F.xxhash64("term"), F.col("term_blocks")))
+    heads = dealt(groups.withColumns({"term": F.lit(None).cast("string"), "p": F.lit(None).cast("long")}), each("term_blocks"))
+    body = dealt(valued.withColumn("none", F.lit(None).cast("long")), F.pmod(F.xxhash64("term"), F.col("term_blocks")))
     columns = ["lang", "part", F.col("m.a").alias("a"), F.col("m.b").alias("b"), "own", "source", "none", "term", "p"]
 
     def differences(table: pa.Table) -> pa.Table:
@@ -195,11 +207,10 @@ def audit(docs: DataFrame, *, lang_col: str = "lang", source_col: str = "source"
     zero = F.lit(0).cast("long")
     groups = texts.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(terms, "lang", "left")
     groups = groups.select("lang", "source", F.coalesce("total", zero).alias("total"), F.coalesce("terms", zero).alias("terms"))
-    groups = groups.withColumn("none", share(zero, F.col("total"), F.col("terms")))
-    valued = found.join(groups, ["lang", "source"]).withColumn("p", share(F.col("n"), F.col("total"), F.col("terms")))
+    groups = stored(with_blocks(groups.withColumn("none", share(zero, F.col("total"), F.col("terms")))), "groups")
+    valued = found.join(small(groups.drop("none")), ["lang", "source"]).withColumn("p", share(F.col("n"), F.col("total"), F.col("terms")))
     pairs = summed_differences(groups, valued)
     whole = found.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"))
-    whole = whole.join(groups.groupBy("lang").agg(F.sum("total").alias("lang_total")), "lang")
     ahead = valued.join(whole, ["lang", "term"]).withColumn("value", F.col("p") - share(F.col("lang_n"), F.col("lang_total"), F.col("terms")))
     ahead = ahead.where(F.col("value") > 0).select("lang", "source", F.col("term").alias("item"), "value")
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
