@@ -119,3 +119,13 @@ def value_place(text: Column, value: Column) -> Column:
     exact, folded = F.call_function("locate", value, text), F.call_function("locate", F.lower(value), F.lower(text))
     at = F.when(exact > 0, exact).when(folded > 0, folded)
     return F.when((value != "") & at.isNotNull(), F.struct((at - 1).alias("start"), (at - 1 + F.length(value)).alias("end")))
+
+
+def reviewed_places(text: Column, mileage: Column, year: Column, power: Column, fuel: Column) -> Column:
+    """Array of (start, end, label): the first places of reviewed values as written, a year exactly, the others without regard to case.
+
+    Values that are null, empty or nowhere in the text are left out.
+    """
+    low = F.lower(text)
+    parts = {"MILEAGE": (low, F.lower(mileage)), "YEAR": (text, year.cast("string")), "POWER": (low, F.lower(power)), "FUEL": (low, F.lower(fuel))}
+    return F.filter(F.array(*(word_place(where, F.nullif(value, F.lit("")), label) for label, (where, value) in parts.items())), lambda x: x.isNotNull())

@@ -71,3 +71,27 @@ def format_profile(rows: DataFrame) -> DataFrame:
     made = F.array(*(F.when((F.col("label") == label) & rule, F.lit(form)) for label, own in forms.items() for form, rule in own.items()))
     found = listed.select("label", F.explode(made).alias("form")).where("form is not null")
     return found.groupBy("label", "form").agg(F.count(F.lit(1)).alias("n"))
+
+
+# The units that labelled texts should name.
+UNITS = {"MILEAGE": "km", "POWER": "kw"}
+
+
+def unit_consistency(rows: DataFrame) -> DataFrame:
+    """(label, with_unit, without_unit, consistent) of each label with a unit that occurs: consistent if all spans name it, or none."""
+    listed = rows.select(F.explode("entities").alias("e"), "text").where(F.col("e.label").isin(*UNITS))
+    unit = F.element_at(F.create_map(*(F.lit(x) for pair in UNITS.items() for x in pair)), F.col("e.label"))
+    named = F.lower(F.substring("text", F.col("e.start") + 1, F.col("e.end") - F.col("e.start"))).contains(unit)
+    counted = listed.groupBy(F.col("e.label").alias("label")).agg(F.count_if(named).alias("with_unit"), F.count_if(~named).alias("without_unit"))
+    return counted.withColumn("consistent", (F.col("with_unit") == 0) | (F.col("without_unit") == 0))
+
+
+# So many new examples are expected to add so many percent, up to a most.
+GROWTH_STEP, STEP_GAIN, MOST_GAIN = 50, 2, 15
+
+
+def growth(rows: DataFrame, base: str, source: str = "source") -> DataFrame:
+    """One row: total, base, added, expected_gain (percent, null if nothing was added) of examples by source; no rows: zeros."""
+    counted = rows.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col(source) == base).alias("base"))
+    gain = F.least(F.expr(f"(total - base) div {GROWTH_STEP} * {STEP_GAIN}"), F.lit(MOST_GAIN).cast("bigint"))
+    return counted.select("total", "base", (F.col("total") - F.col("base")).alias("added"), F.when(F.col("total") > F.col("base"), gain).alias("expected_gain"))

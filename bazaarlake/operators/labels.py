@@ -21,6 +21,30 @@ def valid_only(entities: Column, text: Column) -> Column:
     return F.filter(entities, lambda e: is_valid(e, F.length(text)))
 
 
+#: A token is a run of these characters, or any other character that isn't white space.
+WORD = r"[\p{L}\p{M}\p{N}_]"
+TOKEN = rf"{WORD}+|[^\s\p{{L}}\p{{M}}\p{{N}}_]"
+
+
+def is_aligned(e: Column, text: Column) -> Column:
+    """Whether a span starts where a token starts and ends where one ends: both edges are told by the characters beside them.
+
+    So a text of any length costs a span the same, and no tokens are made. A span that isn't valid isn't aligned.
+    """
+    def cuts_word(at: Column) -> Column:
+        return (at > 0) & F.substring(text, at, 2).rlike(f"^{WORD}{WORD}")
+
+    def blank(at: Column) -> Column:
+        return F.substring(text, at, 1).rlike(r"(?U)^\s")
+
+    return is_valid(e, F.length(text)) & ~(cuts_word(e.start) | cuts_word(e.end) | blank(e.start + 1) | blank(e.end))
+
+
+def aligned_only(entities: Column, text: Column) -> Column:
+    """The spans on token boundaries, in their order; null entities give null, null text none."""
+    return F.filter(entities, lambda e: F.coalesce(is_aligned(e, text), F.lit(False)))
+
+
 def overlap(a: Column, b: Column) -> Column:
     return (a.start < b.end) & (b.start < a.end)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from bazaarlake.operators import labels as lab
 from bazaarlake.operators import state
+from bazaarlake.operators.label_quality import growth
 from bazaarlake.operators.stored_state import KeyedState
 from bazaarlake.sources import files
 from bazaarlake.sources.folders import shared
@@ -121,7 +122,20 @@ def unreviewed(spark, sf_dir):
 def three_sources(spark, sf_dir):
     rows = texts_of(spark, sf_dir)
     parts = [rows.where(f"doc_id % 3 = {k}").withColumn("source", F.lit(name)) for k, name in enumerate(("base", "automatic", "reviewed"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def source_counts(spark, sf_dir):
+    return three_sources(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+def reviewed_batches(spark, sf_dir):
+    """Reviewed rows of two batches, the first of which comes again."""
+    rows = listings(spark, sf_dir).select("id", "model", "price").where("price > 5000")
+    folder = shared(spark, "reviewed")
+    for batch in (0, 1, 0):
+        files.append_reviewed(rows.where(F.col("id") % 2 == batch), folder, batch)
+    return files.reviewed(spark, folder, "id bigint, model string, price int")
 
 
 def inserted(spark, sf_dir):
@@ -163,7 +177,9 @@ QUERIES = {
     "j4_p11_lookup_or_insert": inserted,
     "j6_j7_unreviewed": unreviewed,
     "j8_u3_merge_new": merged,
-    "u1_a25_three_sources": three_sources,
+    "u1_a25_three_sources": source_counts,
+    "a25_growth": lambda s, d: growth(three_sources(s, d), "base"),
+    "s9_reviewed_batches": reviewed_batches,
     "s4_page_offsets": lambda s, d: files.page_offsets(s, listings(s, d).groupBy("brand").agg(F.count(F.lit(1)).alias("n"))).groupBy("brand").agg(F.count(F.lit(1)).alias("pages"), F.max("offset").alias("last")),
     "s17_quota": lambda s, d: files.quota(listings(s, d).select("id", "brand"), s.createDataFrame([("ASIA", 5), ("EUROPE", 7)], "brand string, n int")),
     "ext_rollup": lambda s, d: listings(s, d).rollup("brand", "fuel").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().cast("long").alias("level")),
@@ -198,6 +214,8 @@ ORACLE_SQL = {
     "j6_j7_unreviewed": "select doc_id from documents where doc_id % 5 = 0 or doc_id % 3 <> 0",
     "j8_u3_merge_new": "select md5(text) as digest, count(*) as n from (select text from documents where doc_id % 2 = 0 union all select distinct text from documents where doc_id % 2 = 1 and text not in (select text from documents where doc_id % 2 = 0)) group by 1",
     "u1_a25_three_sources": "select case doc_id % 3 when 0 then 'base' when 1 then 'automatic' else 'reviewed' end as source, count(*) as n from documents group by 1",
+    "a25_growth": "select *, case when added > 0 then least(added // 50 * 2, 15) end as expected_gain from (select count(*) as total, count(*) filter (where doc_id % 3 = 0) as base, count(*) filter (where doc_id % 3 <> 0) as added from documents)",
+    "s9_reviewed_batches": f"{L} select id, model, price from listings where price > 5000",
     "s4_page_offsets": f"{L} select brand, (least(n, 20000) - 1) // 20 as pages, (least(n, 20000) - 1) // 20 * 20 as last from (select brand, count(*) as n from listings group by brand) where n > 20",
     "s17_quota": f"{L} select id, brand from (select id, brand, row_number() over (partition by brand order by id) as k from listings) where (brand = 'ASIA' and k <= 5) or (brand = 'EUROPE' and k <= 7)",
     "ext_rollup": f"{L} select brand, fuel, count(*) as n, grouping(brand, fuel) as level from listings group by rollup (brand, fuel)",

@@ -8,8 +8,8 @@ from bazaarlake.functions import detail_page, labelling
 from bazaarlake.operators import edits, label_quality, model_match
 from bazaarlake.operators.changing import removed_repeats
 from bazaarlake.operators.filters import is_car_by_keywords
-from bazaarlake.operators.labels import without_overlaps
-from bazaarlake.sources import shapes
+from bazaarlake.operators.labels import aligned_only, without_overlaps
+from bazaarlake.sources import extractions, shapes
 from bazaarlake.sources.listings import AS_OF_YEAR, LISTINGS_SQL, described, listings, spread, table
 
 BASE = "https://auto.example.org"
@@ -118,6 +118,50 @@ def shape_faults(spark, sf_dir):
     rows = listings(spark, sf_dir).select(F.col("brand").alias("file"), F.col("id").alias("place"), F.parse_json(said).alias("example"))
     return shapes.report(rows)
 
+
+#: Files of two records by the id's remainder of 6; MILES, YEAR, POWER and FUEL are the listing's, as JSON.
+RECORDS = [
+    '[{"id": 1, "raw_values": {"mileage": MILES, "year": "r. YEAR", "power": "POWER KW", "fuel": "Dieselový"}}, {"id": 2}]',
+    '{"extractions": [{"mileage": "MILES km", "year": YEAR, "power": POWER, "fuel": FUEL, "x": 1}, 5]}',
+    '[{"raw_values": {"mileage": "POWER tis km", "fuel": "2.0 TSI"}, "fuel": "old"}, {"raw_values": "none"}]',
+    '[{"raw_values": {"fuel": POWER}}, {"raw_values": {"power": POWER.75}}]',
+    '{"items": []}',
+    '[{"raw_values": ',
+]
+
+
+def record_files(spark, sf_dir):
+    """Files (file, value): one a listing."""
+    shape = F.get(F.array(*(F.lit(x) for x in RECORDS)), (F.col("id") % 6).cast("int"))
+    for name, column in (("MILES", "mileage"), ("YEAR", "year_manufacture"), ("POWER", "power")):
+        shape = F.replace(shape, F.lit(name), F.coalesce(number(column), F.lit("0")))
+    shape = F.replace(shape, F.lit("FUEL"), F.coalesce(text('"', F.col("fuel"), '"'), F.lit("null")))
+    return listings(spark, sf_dir).select(F.col("id").alias("file"), shape.alias("value"))
+
+
+def normalised_records(spark, sf_dir):
+    rows, broken = extractions.records(record_files(spark, sf_dir))
+    done = extractions.normalise_records(rows).select("file", "place", "mileage", "year", "power", "fuel", "fault")
+    return done.unionByName(broken, allowMissingColumns=True)
+
+
+EDGES = ((17, 11), (23, 5), (29, 7))
+
+
+def aligned_spans(spark, sf_dir):
+    """Spans at places by rules of the id, of which those on token boundaries stay."""
+    said = text(F.col("model"), "; výkon:", F.coalesce(number("power"), F.lit("-")), " kW,rok_", F.coalesce(number("year_manufacture"), F.lit("")), " (č. ", number("id"), ")")
+    made = [F.struct((F.col("id") % a).cast("int").alias("start"), (F.col("id") % a + F.col("id") % b).cast("int").alias("end"), F.lit(f"S{a}").alias("label")) for a, b in EDGES]
+    rows = listings(spark, sf_dir).select("id", F.explode(aligned_only(F.array(*made), said)).alias("e"))
+    return rows.select("id", "e.*")
+
+
+def reviewed_places(spark, sf_dir):
+    said = text("NAJETO ", number("view_count"), " TIS KM, 1-urgent; ", F.coalesce(number("year_manufacture"), F.lit("?")), "; ", F.coalesce(number("power"), F.lit("-")), " Kw 2-HIGH")
+    p = labelling.reviewed_places(said, text(number("view_count"), " tis km"), F.col("year_manufacture"), text(number("power"), " kW"), F.col("fuel"))
+    return listings(spark, sf_dir).select("id", F.explode(p).alias("p")).select("id", "p.*")
+
+
 #: By the id's remainder of 8: a text, and whether it tells mileage, year, power and fuel.
 TOLD = [
     ("najeto 150 tis km", 1, 0, 0, 0),
@@ -215,6 +259,10 @@ QUERIES = {
     "j11_many_models": many_models,
     "x21_suggestions": suggested,
     "l4_shape_faults": shape_faults,
+    "x26_normalised_records": normalised_records,
+    "l3_aligned_spans": aligned_spans,
+    "x24_reviewed_places": reviewed_places,
+    "a18_unit_consistency": lambda s, d: label_quality.unit_consistency(labelled(s, d)),
     "f12_legacy_car_filter": lambda s, d: listings(s, d).select("id", is_car_by_keywords(F.when(F.col("id") % 9 != 0, F.col("model")), F.get(F.array(*map(F.lit, ["Octavia 2.0", "zimní PNEU", "Sada kol", "motory", "Alu kola R17"])), (F.col("id") % 5).cast("int")), F.col("price")).alias("is_car")),
     "f16_all_detectors": detectors,
     "x24_places_of_values": places,
@@ -240,6 +288,25 @@ ORACLE_SQL = {
  (2, 'error', 'entity not a triple'), (3, 'error', 'entities not a list'), (4, 'error', 'no entities'), (5, 'error', 'text not a string'), (6, 'error', 'not a pair'),
  (7, 'error', 'positions not integers'), (7, 'error', 'label not a string'), (7, 'error', 'invalid positions'))
  select level, fault, cast(sum(n) as bigint) as n from f join n using (k) group by all""",
+    "x26_normalised_records": f"""{L}, x as (select id as file, id % 6 as w, coalesce(mileage, 0) as m, year_manufacture as y, power as p, fuel as f from listings)
+ select file, 0 as place, case when m between 1 and 1000000 then m end as mileage, case when y >= 1990 then y end as year, coalesce(p, 0) as power, 'diesel' as fuel, null as fault from x where w = 0
+ union all select file, 1, null, null, null, null, 'no values' from x where w = 0
+ union all select file, 0, case when m <= 1000000 then m end, case when y >= 1990 then y end, p, null, null from x where w = 1
+ union all select file, 1, null, null, null, null, 'not an object' from x where w = 1
+ union all select file, 0, coalesce(p, 0) * 1000, null, null, 'benzín', null from x where w = 2
+ union all select file, 1, null, null, null, null, 'values not an object' from x where w = 2
+ union all select file, 0, null, null, null, null, 'fuel not a text' from x where w = 3
+ union all select file, 1, null, null, p, null, null from x where w = 3
+ union all select file, null, null, null, null, null, case w when 4 then 'unknown format' else 'not json' end from x where w > 3""",
+    "l3_aligned_spans": f"""{L}, x as (select id, model || '; výkon:' || coalesce(cast(power as varchar), '-') || ' kW,rok_' || coalesce(cast(year_manufacture as varchar), '') || ' (č. ' || id || ')' as t from listings),
+ s as (select id, t, {", ".join(f"id % {a} as s{a}, id % {a} + id % {b} as e{a}" for a, b in EDGES)} from x), e as ({" union all ".join(f"select id, t, cast(s{a} as int) as s, cast(e{a} as int) as e, 'S{a}' as label from s" for a, _ in EDGES)})
+ select id, s as start, e as "end", label from e where s < e and e <= length(t) and substr(t, s + 1, 1) <> ' ' and substr(t, e, 1) <> ' '
+ and not (s > 0 and regexp_matches(substr(t, s, 2), '^[\\p{{L}}\\p{{N}}_]{{2}}')) and not regexp_matches(substr(t, e, 2), '^[\\p{{L}}\\p{{N}}_]{{2}}')""",
+    "x24_reviewed_places": f"""{L}, x as (select id, 'NAJETO ' || view_count || ' TIS KM, 1-urgent; ' || coalesce(cast(year_manufacture as varchar), '?') || '; ' || coalesce(cast(power as varchar), '-') || ' Kw 2-HIGH' as t,
+ view_count || ' tis km' as m, cast(year_manufacture as varchar) as y, power || ' kw' as p, lower(fuel) as f from listings), v as (select id, lower(t) as t, m as v, 'MILEAGE' as label from x union all select id, t, y, 'YEAR' from x
+ union all select id, lower(t), p, 'POWER' from x union all select id, lower(t), f, 'FUEL' from x) select id, cast(strpos(t, v) - 1 as int) as start, cast(strpos(t, v) - 1 + length(v) as int) as "end", label from v where strpos(t, v) > 0""",
+    "a18_unit_consistency": f"""{LABELLED_SQL} select 'POWER' as label, count(*) filter (where id % 4 < 2) as with_unit, count(*) filter (where id % 4 >= 2) as without_unit, count(*) filter (where id % 4 < 2) = 0 or count(*) filter (where id % 4 >= 2) = 0 as consistent
+ from x where w > 0 union all select 'MILEAGE', count(*), 0, true from x where w > 2""",
     "f12_legacy_car_filter": f"{L} select id, id % 9 <> 0 and price >= 5000 and id % 5 in (0, 3) as is_car from listings",
     "f16_all_detectors": f"{L} select id, " + ", ".join(f"v.{k} = 1 as has_{k}" for k in labelling.DETECTORS) + f" from listings join {values([(k, *t[1:]) for k, t in enumerate(TOLD)], 'k, mileage, year, power, fuel')} on id % 8 = k",
     "x24_places_of_values": f"""{L}, x as (select id, year_manufacture as y, power as p, 5 + coalesce(length(cast(year_manufacture as varchar)), 1) as n from listings)

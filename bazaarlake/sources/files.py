@@ -88,3 +88,14 @@ def quota(rows: DataFrame, quotas: DataFrame, key: str = "brand") -> DataFrame:
 
     ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("id")))
     return ranked.join(quotas, key).where("_n <= n").drop("_n", "n")
+
+
+def append_reviewed(rows: DataFrame, folder: str, batch: int) -> None:
+    """Adds reviewed rows as JSON lines in folder/batch=N; earlier batches aren't read, and a batch that comes again replaces itself."""
+    writer = rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("batch").json(folder)
+
+
+def reviewed(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """Rows of all batches."""
+    return spark.read.schema(f"{schema}, batch int").json(folder).drop("batch")
