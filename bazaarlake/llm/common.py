@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +69,14 @@ def forget(spark: SparkSession, paths: list[str]) -> None:
         STORED.remove(name)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, for a Python worker that later tasks use again; does nothing where that can't be done."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once a row, even where lambdas inside body use it for each element."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
