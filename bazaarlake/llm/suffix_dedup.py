@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bazaarlake.llm.common import read, stored
+from bazaarlake.llm.common import giving_back, read, stored
 
 MIN, K = 100, 32
 SPAN = MIN - K + 1
@@ -376,7 +376,7 @@ def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """(doc, h, s, n): n windows from byte s on are repeats. texts: (doc, h, text)."""
-    rows = texts.mapInArrow(find_regions, FOUND)
+    rows = texts.mapInArrow(giving_back(find_regions), FOUND)
     # One shuffle and one sort serve both windows.
     each = Window.partitionBy("a").orderBy("r", "doc", "h", "loc").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     same = Window.partitionBy("a", "r").orderBy("doc", "h", "loc")
@@ -400,7 +400,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     whole = held.where("kind in ('repeat', 'later')")
     spans = [whole.select("doc", "h", place_of().alias("s"), F.when(F.col("kind") == "repeat", F.col("r")).otherwise(n_windows).alias("n"))]
     marks = held.where("kind = 'mixed'").groupBy("doc", "h").agg(F.collect_set("loc").alias("marks"))
-    parts = stored(texts.join(marks, ["doc", "h"]).select("doc", "h", "text", "marks").mapInArrow(cut_regions, PARTS), "parts-1")
+    parts = stored(texts.join(marks, ["doc", "h"]).select("doc", "h", "text", "marks").mapInArrow(giving_back(cut_regions), PARTS), "parts-1")
     for level in range(2, LEVELS + 2):
         spans.append(parts.where("part is null").select("doc", "h", place_of().alias("s"), F.col("g").alias("n")))
         parts = parts.where("part is not null")
@@ -411,11 +411,11 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
             spans.append(again.select("doc", "h", place_of().alias("s"), F.lit(1).cast("long").alias("n")))
             break
         few = parts.join(sizes.where(F.col("c") <= CAP), "g").groupBy("g").agg(F.collect_list(F.struct("doc", "h", "loc", "part")).alias("rows"))
-        spans.append(few.select("rows").mapInArrow(compared, SPANS))
+        spans.append(few.select("rows").mapInArrow(giving_back(compared), SPANS))
         large = sizes.where(F.col("c") > CAP).select("g")
         if large.isEmpty():
             break
-        parts = stored(parts.join(large, "g").select("doc", "h", "loc", "part").mapInArrow(cut_again(level), PARTS), f"parts-{level}")
+        parts = stored(parts.join(large, "g").select("doc", "h", "loc", "part").mapInArrow(giving_back(cut_again(level)), PARTS), f"parts-{level}")
     return functools.reduce(DataFrame.unionByName, spans)
 
 
@@ -450,7 +450,7 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spans = repeated_spans(texts.select("doc", "h", "text")).groupBy("doc", "h").agg(F.collect_list(F.struct("s", "n")).alias("spans"))
     joined = texts.join(spans, ["doc", "h"], "left").select("row", "text", "spans")
     fields = f"row {joined.schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept "
-    return joined.mapInArrow(lambda batches: remove(batches, as_text), fields + ("string" if as_text else "binary"))
+    return joined.mapInArrow(giving_back(lambda batches: remove(batches, as_text)), fields + ("string" if as_text else "binary"))
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
