@@ -54,9 +54,9 @@ def remaining(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return rows.join(done.select(key).distinct(), key, "left_anti")
 
 
-def to_do(urls: DataFrame, log: DataFrame) -> DataFrame:
-    """Urls to fetch: neither saved nor filtered so far; failed ones are tried again."""
-    return remaining(urls, log.where(F.col("status").isin("saved", "filtered")), "url")
+def to_do(urls: DataFrame, log: DataFrame, key: str = "url") -> DataFrame:
+    """Urls to fetch: neither saved nor filtered so far; failed ones are tried again. key: what rows of the log are known by."""
+    return remaining(urls, log.where(F.col("status").isin("saved", "filtered")), key)
 
 
 def merge_new(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

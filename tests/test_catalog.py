@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import duckdb
 import pytest
 from oracle import connect, difference
 
@@ -39,3 +40,11 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).columns
     assert set(catalog.QUERIES) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("pages", [[(1, "a"), (4, "a"), (5, "a"), (6, "b"), (7, "b"), (8, None), (9, None)], [(None, "a"), (-1, "b"), (-3, None), (3, "b")]])
+def test_pages_that_share_a_url_are_resumed_by_id(spark, tmp_path, pages):
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert not difference(spark, catalog.QUERIES["p1_p3_resume"], catalog.ORACLE_SQL["p1_p3_resume"], str(tmp_path), con)
