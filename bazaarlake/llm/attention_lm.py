@@ -5,11 +5,10 @@ it, times the token's share within group and bin. Groups hold tokens with like n
 frequency, the most frequent ones alone.
 
 Everything the model starts from is counted over all training documents: tokens, which tokens stand beside which, which
-groups and bins follow which. The attention weights then learn what these counts don't tell: in each of ROUNDS rounds, every
-Spark task goes over one in SHARE windows of each of its training documents, other ones in each round, and the tasks'
-weights are averaged by their windows. A document of few windows gives one of them in one round, so none goes without, and
-the model has met one in SHARE / ROUNDS windows of each other one. So the windows learned from grow with the corpus; the weights depend a little on how
-the input is split into tasks.
+groups and bins follow which. The attention weights then learn what these counts don't tell, from every window of every
+training document: in each of ROUNDS rounds, every Spark task goes over one in ROUNDS windows of its documents, other ones in
+each round, and the tasks' weights are averaged by their windows. The weights depend a little on how the input is split into
+tasks.
 
 A text is read in windows of WIDTH tokens that overlap by WIDTH - STEP; each window scores its last STEP tokens, so every
 token is scored once, with at least WIDTH - STEP places before it, which hold the end's sign where the text has no more
@@ -39,8 +38,9 @@ WIDTH, STEP, SIZE, HIDDEN = 32, 16, 16, 16
 GROUPS, BINS, OWN = 32, 16, 1000
 #: Buckets of neighbours before, and after, that tokens are told apart by.
 NEAR = 16
-#: Rounds of learning, the share of windows in each; windows in a step; the rate of steps.
-ROUNDS, SHARE, BATCH, RATE = 2, 32, 32, 0.01
+#: Rounds of learning, of how many windows each takes one (as many: all are met); windows in a step; the rate of steps.
+ROUNDS = SHARE = 2
+BATCH, RATE = 128, 0.03
 #: Ids read at once; windows scored at once; slices of sums; counts that a prior is worth; the log of no probability.
 AT_ONCE, RUN, SUMS, PRIOR, NEVER = 200_000, 128, 64, 20.0, -60.0
 #: Decimals of a score: the last bits of 32-bit products depend on what they are multiplied with.
@@ -107,64 +107,77 @@ def chances(model: Model, y: np.ndarray, last: np.ndarray, target: np.ndarray) -
     return found, both, p, sums
 
 
+#: Places between each of a window's last STEP places and all of its places.
+APART = np.arange(WIDTH - STEP, WIDTH)[:, None] - np.arange(WIDTH)
+
+
 def gradients(model: Model, inputs: np.ndarray, targets: np.ndarray, counts: np.ndarray) -> tuple[float, Weights]:
-    """Mean loss over the places that count, of windows of inputs and targets of their last STEP places; its gradient by each weight."""
+    """Mean loss over the places that count, of windows of inputs and targets of their last STEP places; its gradient by each weight.
+
+    Products are those of all windows at once where they can be; the last places' are views of, or in, those of all places.
+    """
     w, groups = model.weights, model.by_group.shape[1]
+    kind = w["embed"].dtype
     rows, target, last = model.row[inputs], model.cell[targets].reshape(-1), model.cell[inputs[:, WIDTH - STEP :]].reshape(-1)
-    weight = counts.reshape(-1) / max(1, counts.sum())
-    x = w["embed"][rows]
-    own = x[:, WIDTH - STEP :]
-    scale = 1 / np.sqrt(SIZE).astype(x.dtype)
-    q, k, v = own @ w["query"] * scale, x @ w["key"], x @ w["value"]
-    seen = visible(w)
-    a, total, y = attend(q, k, v, own, seen)
+    weight = (counts.reshape(-1) / max(1, counts.sum())).astype(kind)
+    x = w["embed"].take(rows, axis=0)
+    own = np.ascontiguousarray(x[:, WIDTH - STEP :])
+    flat_x, flat_own = x.reshape(-1, SIZE), own.reshape(-1, SIZE)
+    scale = 1 / np.sqrt(SIZE).astype(kind)
+    q = (flat_own @ (w["query"] * scale)).reshape(own.shape)
+    k, v = (flat_x @ w["key"]).reshape(x.shape), (flat_x @ w["value"]).reshape(x.shape)
+    a, total, y = attend(q, k, v, own, visible(w))
     a /= total[..., None]
     logs, both, d, sums = chances(model, y, last, target)
-    d[:, :groups] /= sums[:, :1]
-    d[:, groups:] /= sums[:, 1:]
-    loss = -float((logs * weight).sum())
+    shares = weight[:, None] / sums
+    d[:, :groups] *= shares[:, :1]
+    d[:, groups:] *= shares[:, 1:]
     at, (group, bin_) = np.arange(len(target)), np.divmod(target, BINS)
-    d[at, group] -= 1
-    d[at, groups + bin_] -= 1
-    d *= weight[:, None]
-    size = y.shape[1]
+    d[at, group] -= weight
+    d[at, groups + bin_] -= weight
     g = {"head": both.T @ d}
     dboth = d @ w["head"].T
-    dh = dboth[:, size:] * (both[:, size:] > 0)
+    dh = dboth[:, SIZE:] * (both[:, SIZE:] > 0)
     g["up"], g["up0"] = y.T @ dh, dh.sum(axis=0)
-    dy = (dboth[:, :size] + dh @ w["up"].T).reshape(own.shape)
-    da = dy @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-    distance = np.arange(WIDTH - STEP, WIDTH)[:, None] - np.arange(WIDTH)
-    by_place = ds.sum(axis=0)
-    g["distance"] = np.bincount(distance[distance >= 0], by_place[distance >= 0], WIDTH).astype(x.dtype)
-    dq, dk, dv = ds @ k * scale, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dy
-
-    def flat(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        return left.reshape(-1, left.shape[-1]).T @ right.reshape(-1, right.shape[-1])
-
-    g["query"], g["key"], g["value"] = flat(own, dq), flat(x, dk), flat(x, dv)
-    dx = dk @ w["key"].T + dv @ w["value"].T
-    dx[:, WIDTH - STEP :] += dy + dq @ w["query"].T
-    g["embed"] = np.zeros_like(w["embed"])
-    np.add.at(g["embed"], rows.reshape(-1), dx.reshape(-1, size))
-    return loss, g
+    flat_dy = dh @ w["up"].T
+    flat_dy += dboth[:, :SIZE]
+    dy = flat_dy.reshape(own.shape)
+    ds = dy @ v.transpose(0, 2, 1)
+    ds -= (flat_dy * (y - flat_own)).sum(axis=1).reshape(len(x), STEP, 1)  # what a place attends to is its mean by a
+    ds *= a
+    g["distance"] = np.bincount(APART[APART >= 0], ds.sum(axis=0)[APART >= 0], WIDTH).astype(kind)
+    dq = (ds @ k).reshape(-1, SIZE)
+    dk, dv = ((p.transpose(0, 2, 1) @ z).reshape(-1, SIZE) for p, z in ((ds, q), (a, dy)))
+    g["query"], g["key"], g["value"] = flat_own.T @ dq * scale, flat_x.T @ dk, flat_x.T @ dv
+    dx = dk @ w["key"].T
+    dx += dv @ w["value"].T
+    flat_dy += dq @ (w["query"].T * scale)
+    dx.reshape(x.shape)[:, WIDTH - STEP :] += dy
+    places = (rows.reshape(-1, 1) * SIZE + np.arange(SIZE)).reshape(-1)
+    g["embed"] = np.bincount(places, dx.reshape(-1), w["embed"].size).reshape(-1, SIZE).astype(kind)
+    return -float(logs @ weight), g
 
 
 class Adam:
-    """Steps along the gradient, by its running mean and variance; changes the weights in place."""
+    """Steps along the gradient, by its running mean and variance; changes the weights in place, which become parts of one vector."""
 
     def __init__(self, w: Weights):
         self.w, self.t = w, 0
-        self.m, self.v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
+        self.all = np.concatenate([x.reshape(-1) for x in w.values()])
+        self.m, self.v = np.zeros_like(self.all), np.zeros_like(self.all)
+        at = np.cumsum([x.size for x in w.values()])[:-1]
+        w.update({k: part.reshape(w[k].shape) for k, part in zip(list(w), np.split(self.all, at), strict=True)})
 
     def step(self, g: Weights, rate: float) -> None:
         self.t += 1
-        w, m, v, t = self.w, self.m, self.v, self.t
-        for k in w:
-            m[k] = 0.9 * m[k] + 0.1 * g[k]
-            v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
-            w[k] -= (rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+        m, v, d = self.m, self.v, np.concatenate([g[k].reshape(-1) for k in self.w])
+        m *= 0.9
+        m += 0.1 * d
+        v *= 0.99
+        v += 0.01 * d**2
+        np.divide(m, np.sqrt(v / (1 - 0.99**self.t)) + 1e-8, out=d)
+        d *= rate / (1 - 0.9**self.t)
+        self.all -= d
 
 
 # Texts.
@@ -415,15 +428,10 @@ def ordered(texts: DataFrame, sent: Broadcast, kind: str) -> np.ndarray:
 def chosen(stream: Stream, texts: list[np.ndarray], turn: int, share: int = SHARE, rounds: int = ROUNDS) -> np.ndarray:
     """The windows that a round learns from: every share-th of each text, from one that the text and the round tell.
 
-    A text with fewer windows than share / rounds could go without; it gives one window, in one of the rounds.
+    As share is the number of rounds, each window of each text is met in one of them.
     """
     mark = np.array([int(x[:8].sum()) + len(x) for x in texts])
-    windows = -(-stream.sizes // STEP)
-    step = max(1, share // rounds)
-    own = (1 + mark % windows)[stream.text]
-    alone = (stream.nth == own) & ((mark // windows % rounds)[stream.text] == turn)
-    usual = (stream.nth > 0) & ((stream.nth + mark[stream.text] + turn * step) % share == 0)
-    return np.flatnonzero(np.where((windows < step)[stream.text], alone, usual))
+    return np.flatnonzero((stream.nth > 0) & ((stream.nth + mark[stream.text] + turn * max(1, share // rounds)) % share == 0))
 
 
 def learn(model: Model, adam: Adam, texts: list[np.ndarray], turn: int, share: int = SHARE, rounds: int = ROUNDS) -> int:

@@ -152,6 +152,15 @@ def test_every_text_is_learned_from():
         assert len(own) == 1 if windows < step else own == [k for k in range(1, windows + 1) if k % step == own[0] % step]
 
 
+def test_every_window_is_learned_from_once():
+    rng = np.random.default_rng(5)
+    texts = [np.append(rng.integers(0, 50, n), 50) for n in (0, 15, 16, 255, 256, 300, 5000)]
+    stream = attention_lm.Stream(texts, 50)
+    picked = np.concatenate([attention_lm.chosen(stream, texts, turn) for turn in range(attention_lm.ROUNDS)])
+    assert sorted(picked.tolist()) == np.flatnonzero(stream.nth).tolist()
+    assert len(picked) == sum(-(-len(x) // attention_lm.STEP) for x in texts)
+
+
 def plain_score(model, text):
     """log10 probability of ids, token by token, from formulas."""
     w, total = {k: x.astype(float) for k, x in model.weights.items()}, 0.0
