@@ -1,7 +1,8 @@
-"""Texts that share most of their word shingles: MinHash finds candidates, the exact Jaccard similarity of the sets decides.
+"""Texts that share most of their word shingles: fingerprints and MinHash find candidates, the exact Jaccard similarity of the sets decides.
 
 Each text's set of shingle hashes gets BANDS keys of ROWS minima each; texts that share a key are candidates. At a
-similarity of 0.8 a pair has no common key with a chance of (1 - 0.8 ** 5) ** 24 < 1e-4, less above. Candidates are
+similarity of 0.8 a pair has no common key with a chance of (1 - 0.8 ** 5) ** 24 < 1e-4, less above. Texts whose fingerprints
+are near (linked, by) are candidates as well: of those nearly the same none is missed. Candidates are
 joined to classes first, each text linking to the smallest of its bucket; then the sets of a class meet in one task, which
 links all pairs that are similar enough. So what candidates bring together wrongly comes apart again.
 
@@ -13,7 +14,7 @@ Texts with equal sets, such as all texts without a word, count as one. A text of
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -113,13 +114,13 @@ def exact_links(members: DataFrame, group: int = GROUP) -> DataFrame:
     """(a, b): links that join all similar pairs among members (root, fp, shingles) with the same root."""
     weight = F.sum(F.octet_length("shingles")) / (8 * WEIGHT)
     sizes = members.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / group, weight)).alias("chunks"))
-    sizes = sizes.withColumn("chunks", F.greatest("chunks", F.lit(1)))
-    dealt = members.join(sizes, "root").withColumn("chunk", F.pmod(F.xxhash64("fp"), "chunks"))
-    dealt = stored(dealt.withColumn("task", F.xxhash64("root", "chunk")), "similar-dealt")
+    sizes = stored(sizes.where("chunks > 1"), "large-classes")
+    dealt = members.join(sizes, "root", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("fp"), "chunks")).withColumn("task", F.xxhash64("root", "chunk"))
     links = stored(links_by(dealt), "similar-links")
-    large = dealt.where("chunks > 1")
-    if large.isEmpty():
+    if sizes.isEmpty():
         return links
+    large = stored(dealt.where("chunks > 1"), "similar-dealt")
 
     def labelled(found: DataFrame) -> DataFrame:
         roots = components(found).withColumnRenamed("root", "label")
@@ -139,18 +140,32 @@ def exact_links(members: DataFrame, group: int = GROUP) -> DataFrame:
     return links.union(links_by(large.select("task", "fp", "shingles").union(sent)))
 
 
-def linked(docs: DataFrame, id_col: str, text_col: str, hash_col: str) -> DataFrame:
-    """(id_col, hash_col, fp, root, component_id): fp tells sets apart, root classes; component_id is a class's smallest id."""
+def links_of_marks(marks: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(a, b) that join sets whose marks are one or joined: marks (fp, mark), near gives links (a, b) of distinct marks fp."""
+    marks = stored(marks.distinct(), "marks-of-sets")
+    roots = components(near(marks.select(F.col("mark").alias("fp")).distinct()))
+    named = marks.join(roots, marks.mark == roots.node, "left").select("fp", F.coalesce("root", "mark").alias("name")).distinct()
+    least = named.groupBy("name").agg(F.min("fp").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return named.join(least, "name").where("fp > low").select(F.col("fp").alias("a"), F.col("low").alias("b"))
+
+
+def linked(docs: DataFrame, id_col: str, text_col: str, hash_col: str, by: tuple[Callable[[str | None], int], Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """(id_col, hash_col, fp, root, component_id): fp tells sets apart, root classes; component_id is a class's smallest id.
+
+    by: a text's fingerprint, a signed long, and the links between fingerprints, which name candidates beside those of MinHash.
+    """
+    mark_of, near_marks = by
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, bands = [], []
+            keys, bands, marks = [], [], []
             for text in batch.column(2).to_pylist():
                 found = shingle_set(text)
                 keys.append(set_key(found))
                 bands.append(band_keys(found))
-            arrays = [*batch.columns[:2], pa.array(keys, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["key", "h", "fp", "bands"])
+                marks.append(mark_of(text))
+            arrays = [*batch.columns[:2], pa.array(keys, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["key", "h", "fp", "bands", "mark"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,11 +173,12 @@ def linked(docs: DataFrame, id_col: str, text_col: str, hash_col: str) -> DataFr
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(data, pa.binary())], ["root", "fp", "shingles"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("key"), F.col(hash_col).alias("h"), F.col(text_col).alias("text"))
-    marked = stored(rows.mapInArrow(mark, "key long, h long, fp long, bands array<long>"), "minima")
+    marked = stored(rows.mapInArrow(mark, "key long, h long, fp long, bands array<long>, mark long"), "minima")
     firsts = stored(marked.groupBy("fp").agg(F.min("key").alias("first"), F.min(F.struct("h", "key")).alias("one"), F.any_value("bands").alias("bands")), "distinct-sets")
     dealt = firsts.select("fp", F.explode("bands").alias("band"))
     least = dealt.groupBy("band").agg(F.min("fp").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    near = components(dealt.join(least, "band").where("fp > low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct())
+    shared = dealt.join(least, "band").where("fp > low").select(F.col("fp").alias("a"), F.col("low").alias("b"))
+    near = components(shared.union(links_of_marks(marked.select("fp", "mark"), near_marks)).distinct())
     near = stored(near.union(near.select(F.col("root").alias("node"), "root")).distinct(), "candidates")
     named = firsts.join(near, firsts.fp == near.node).select("root", "fp", F.col("one.h").alias("one_h"), F.col("one.key").alias("one_key"))
     texts = rows.join(named, (rows.h == named.one_h) & rows.key.eqNullSafe(named.one_key)).select("root", "fp", "text")

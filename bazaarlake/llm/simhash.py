@@ -155,13 +155,14 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, that with the smallest id; docs' own columns.
 
-    Components are those of near_copies: texts link at a Jaccard similarity of 0.8 of their sets of five-word shingles.
-    op10's parameters (4 words, 4 of 64 bits) would leave most such copies in; they hold for that query alone.
+    Candidates are texts whose fingerprints differ in at most 4 of 64 bits, all of them, as in near_duplicates, and those that
+    MinHash names, as fingerprints alone leave out most copies at a Jaccard similarity of 0.8 of their sets of five-word shingles.
+    Of both, that similarity decides (near_copies): near fingerprints alone may be those of texts that repeat themselves.
     Of rows of the component that repeat the kept id, one stays, that with the smallest text hash; of a component without
     any id, one row stays for each set. Rows that share an id but not the component are no copies.
     """
     hashed = docs.withColumn("_text_hash_", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    found = near_copies.linked(hashed, id_col, text_col, "_text_hash_").where(F.col(id_col).eqNullSafe(F.col("component_id")))
+    found = near_copies.linked(hashed, id_col, text_col, "_text_hash_", (fingerprint, near_links)).where(F.col(id_col).eqNullSafe(F.col("component_id")))
     alone = F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")
     kept = found.groupBy("root", alone).agg(F.min(F.struct("_text_hash_", id_col)).alias("row"))
     kept = kept.select(F.col(f"row.{id_col}").alias("_kept_id_"), F.col("row._text_hash_").alias("_kept_hash_")).distinct()

@@ -86,6 +86,18 @@ def test_texts_of_similar_shingles_are_copies(spark, monkeypatch, group):
     assert sorted(r["doc_id"] for r in kept) == sorted(set(group_of)) and 4 <= len(set(group_of)) < 50
 
 
+def test_fingerprints_name_candidates_and_similarity_decides(spark, monkeypatch):
+    """Without a key of MinHash; two texts that mostly say one thing over and over are near by fingerprint only."""
+    monkeypatch.setattr(near_copies, "band_keys", lambda found: [])
+    often = " ".join(prose(90, 5).split() * 60)
+    text = prose(95, 400)
+    texts = [text, f"{often} {prose(91, 12)}", f"{often} {prose(92, 12)}", text.rsplit(" ", 1)[0], prose(96, 200), f"{text} x"]
+    fps = [simhash.fingerprint(t) for t in texts]
+    assert all((fps[a] ^ fps[b]).bit_count() <= 4 for a, b in ((0, 3), (0, 5), (1, 2)))
+    kept = simhash.keep_first(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == [0, 1, 2, 4]
+
+
 @pytest.mark.parametrize("bucket", [8192, 8])
 def test_links_join_all_within_the_radius(spark, bucket):
     """Also with so small a bound for buckets that midpoints take over."""
