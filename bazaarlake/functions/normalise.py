@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,11 +72,14 @@ def unique_id(url: Column) -> Column:
 
 
 def rewritten_fuel(value: Column) -> Column:
-    """The last rule that fits wins, as rules run one after another over what the ones before have left."""
-    out = value
-    for pattern, name in P.FUEL_REWRITES.items():
-        out = F.when(out.rlike(f"(?i){pattern}"), name).otherwise(out)
-    return out
+    """Rules run one after another over what the ones before have left. After the first that fits that is a known name, so the rest is told here."""
+    rules = list(P.FUEL_REWRITES.items())
+    out = F.when(value.isNull(), value)
+    for k, (pattern, name) in enumerate(rules):
+        for later, other in rules[k + 1 :]:
+            name = other if re.search(later, name, re.I) else name
+        out = out.when(value.rlike(f"(?i){pattern}"), name)
+    return out.otherwise(value)
 
 
 def misplaced_mileage(value: Column) -> Column:
