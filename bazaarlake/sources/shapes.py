@@ -50,11 +50,19 @@ def example_fault(example: Column) -> Column:
     )
 
 
-def entities_of(rows: DataFrame) -> DataFrame:
-    """A row for each entity of the examples without a fault of their own: the text, the entity's place, parts and fault."""
-    sound = rows.where(example_fault(F.col("example")).isNull())
-    parts = sound.select("file", "place", got(F.col("example"), "$[0]", "string").alias("text"), got(F.col("example"), "$[1].entities").alias("entities"))
-    each = exploded(parts, "entities", "nth", "e").drop("entities")
+def checked(rows: DataFrame) -> DataFrame:
+    """rows in one pass: a row for each example's own fault, and for each entity of those without: the text, the entity's place, parts and fault.
+
+    An example without a fault and entities gives one row as well, without nth.
+    """
+    wrong = F.col("example_fault").isNotNull()
+    told = rows.select("file", "place", "example", example_fault(F.col("example")).alias("example_fault"))
+    parts = told.select(
+        "file", "place", "example_fault",
+        F.when(~wrong, got(F.col("example"), "$[0]", "string")).alias("text"),
+        F.when(~wrong, got(F.col("example"), "$[1].entities", "array<variant>")).alias("entities"),
+    )
+    each = parts.select("file", "place", "example_fault", "text", F.posexplode_outer("entities").alias("nth", "e"))
     e = F.col("e")
     whole = lambda p: kind(got(e, p)) == "BIGINT"
     each = each.withColumns({"start": F.when(whole("$[0]"), got(e, "$[0]", "bigint")), "end": F.when(whole("$[1]"), got(e, "$[1]", "bigint")), "label": got(e, "$[2]", "string")})
@@ -65,27 +73,32 @@ def entities_of(rows: DataFrame) -> DataFrame:
         .when(kind(got(e, "$[2]")) != "STRING", "label not a string")
         .when((start < 0) | (end > F.length(text)) | (start >= end), "invalid positions")
     )
-    return each.withColumn("fault", fault).drop("e")
+    return each.withColumn("fault", F.when(F.col("nth").isNotNull(), fault)).drop("e")
+
 
+def entities_of(rows: DataFrame) -> DataFrame:
+    """A row for each entity of the examples without a fault of their own: the text, the entity's place, parts and fault."""
+    return checked(rows).where("nth is not null").drop("example_fault")
 
-def warnings_of(entities: DataFrame) -> DataFrame:
-    """(warning) of entities: a label that isn't known, and a mileage without separators where the text near it has some."""
-    sound = entities.where("fault is null")
+
+def warnings_of() -> list[Column]:
+    """Warnings, or nulls, of a row of checked: a label that isn't known, and a mileage without separators where the text near it has some."""
+    entity, sound = F.col("nth").isNotNull(), F.col("fault").isNull()
     start, end, text = (F.col(c).cast("int") if c != "text" else F.col(c) for c in ("start", "end", "text"))
     near = F.substring(text, F.greatest(start - 10, F.lit(0)) + 1, F.least(end + 10, F.length(text)) - F.greatest(start - 10, F.lit(0)))
     plain = F.substring(text, start + 1, end - start).rlike(r"^\d{5,}$")
     formatted = (F.col("label") == "MILEAGE") & plain & (near.contains(".") | F.lower(near).contains(" tis"))
-    unknown = entities.where((F.col("fault").isNull() | (F.col("fault") == "invalid positions")) & ~F.col("label").isin(*LABELS))
-    return unknown.select(F.lit("unknown label").alias("fault")).union(sound.where(formatted).select(F.lit("possibly normalised")))
+    unknown = (sound | (F.col("fault") == "invalid positions")) & ~F.col("label").isin(*LABELS)
+    return [F.when(entity & unknown, "unknown label"), F.when(entity & sound & formatted, "possibly normalised")]
 
 
 def report(rows: DataFrame, broken: DataFrame | None = None) -> DataFrame:
     """(level, fault, n) of examples (file, place, example), and of the files that hold none: level error or warning."""
-    entities = entities_of(rows)
-    errors = rows.select(example_fault(F.col("example")).alias("fault")).union(entities.select("fault"))
+    told = [("error", F.coalesce("example_fault", "fault")), *(("warning", w) for w in warnings_of())]
+    each = F.filter(F.array(*(F.struct(F.lit(level).alias("level"), fault.alias("fault")) for level, fault in told)), lambda x: x.fault.isNotNull())
+    found = checked(rows).select(F.inline(each))
     if broken is not None:
-        errors = errors.union(broken.select("fault"))
-    found = errors.where("fault is not null").withColumn("level", F.lit("error")).unionByName(warnings_of(entities).withColumn("level", F.lit("warning")))
+        found = found.unionByName(broken.select(F.lit("error").alias("level"), "fault"))
     return found.groupBy("level", "fault").agg(F.count(F.lit(1)).alias("n"))
 
 

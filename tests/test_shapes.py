@@ -76,3 +76,10 @@ def test_report_and_sound_examples(spark, tmp_path):
 def test_nothing_at_fault(spark):
     rows = spark.createDataFrame([("f", 0, '["a", {"entities": [[0, 1, "FUEL"]]}]')], "file string, place int, s string").select("file", "place", F.parse_json("s").alias("example"))
     assert shapes.report(rows).count() == 0
+
+
+def test_report_reads_the_examples_once(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps(EXAMPLES))
+    rows, _ = shapes.examples(spark, str(tmp_path))
+    plan = shapes.report(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1 and "Union" not in plan
