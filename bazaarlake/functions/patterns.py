@@ -85,6 +85,33 @@ POWER_MEDIUM = [
     r"\b((\d{1,3})\s?kw)\b",
 ]
 
+# Of each pattern above, in its order: what a text in small letters, all white space as spaces, holds if the pattern fits it, one of
+# them at least; an empty tuple where nothing can be said. Looking for these first spares most searches.
+_RV, _DRIVEN = ("rv", "r.v", "r v", "r. v"), ("najeto", "nájezd")
+YEAR_HIGH_HOLDS = [
+    ("výroby", "výroba", "vyrobeno", *_RV), ("rok",), ("výroby", *_RV), ("rč",), ("provozu",), ("provozu",), ("registrace", "majitel", "provoz"),
+    ("/",), ("reg",), ("(",), ("výroby", "výroba", *_RV), ("rok",),
+]
+YEAR_MEDIUM_HOLDS = [("km", "kw", "tdi", "tsi"), ("škoda", "vw", "audi", "bmw", "toyota", "ford", "mazda"), (",",), ("/",)]
+YEAR_EXCLUDED_HOLDS = [
+    ("stk", "technick", "emis"), ("servis", "oprava", "výměna", "vyměněn"), ("pneu", "kola", "brzdy", "motor", "převodovka"), ("nov",),
+    ("rozvod", "řemen", "brzd", "destičky", "kotouče", "olej", "filtr"), ("dělan", "vyměněn", "oprava", "opraveno"),
+    ("tel", "mobil", "psč", "psc", "ič", "ic", "slo", "inzer", "id"), (),
+]
+YEAR_LOW_HOLDS = [()]
+MILEAGE_HIGH_HOLDS = [
+    (*_DRIVEN, "skutečných", "počet", "celkem"), ("najeto", "celkem"), (":",), (":",), _DRIVEN, ("tis",), _DRIVEN, _DRIVEN, ("xxx",), ("***",), _DRIVEN,
+]
+MILEAGE_MEDIUM_HOLDS = [
+    ("km",), ("km",), ("tis",), ("kkm", "k km"), ("tkm", "t km"), ("xxx",), ("***",), ("tis",), ("k",), ("t",), ("tkm", "t.km"), ("xxx",), ("***",),
+    (".",), (" ", ".", "_"), (),
+]
+MILEAGE_EXCLUDED_HOLDS = [
+    ("dojezd", "dosah", "range"), ("denně", "měsíčně", "ročně"), ("servis", "oprava", "výměna", "vyměněn", "dělan"), ("rozvod", "řemen", "brzdy", "olej", "filtr"),
+    ("kč", "kc", "czk", "eur", "korun", ",-"), ("cena", "sleva", "doplatek"), ("psč", "psc"),
+]
+POWER_HIGH_HOLDS, POWER_MEDIUM_HOLDS = [("kw",), ("kw",)], [("kw",)]
+
 FUEL_WORDS = r"\b(benzin(?:ový|ového|ovým|ové|ovém)?|benzín(?:ový|ového|ovým|ové|ovém)?|nafta|naftový(?:ho|mu|m|ém)?|diesel(?:ový|ového|ovým|ové)?|dýzl|naftak|turbodiesel|hybrid(?:ní|ním|ního)?|phev|mhev|elektro|electric|ev|bev|lpg|cng|plyn|e85)\b"
 ENGINE_CODES = ("tdi", "tsi", "hdi", "cdti", "crdi", "dci", "jtd", "jtdm", "tdci", "dti", "tce", "gti", "gdi", "mpi", "fsi", "tfsi")
 #: Exact words of each fuel; then parts of words, in order; then engine codes.

@@ -24,14 +24,14 @@ def texts(spark, sf_dir):
 
 
 def extracted(spark, sf_dir):
-    found = texts(spark, sf_dir).withColumn("m", spans.find_all("text"))
-    first = {k: F.get(F.col(f"m.{k}"), F.lit(0)) for k in ("years", "mileage", "power")}
+    # The word is a column of its own, as what tells its fuel asks for it many times.
+    found = texts(spark, sf_dir).select("id", spans.find_first("text").alias("m"), nrm.fuel_word(F.col("text")).alias("word"))
     return found.select(
         "id",
-        first["years"]["value"].alias("year"),
-        nrm.mileage(first["mileage"]["text"]).alias("mileage"),
-        nrm.power(first["power"]["text"]).alias("power"),
-        nrm.fuel(nrm.fuel_word(F.col("text"))).alias("fuel"),
+        "m.year",
+        nrm.mileage(F.col("m.mileage")).alias("mileage"),
+        nrm.power(F.col("m.power")).alias("power"),
+        nrm.fuel(F.col("word")).alias("fuel"),
     )
 
 
