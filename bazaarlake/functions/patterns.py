@@ -85,11 +85,11 @@ POWER_MEDIUM = [
     r"\b((\d{1,3})\s?kw)\b",
 ]
 
-# Of each pattern above, in its order: what a text in small letters, all white space as spaces, holds if the pattern fits it, one of
+# Of each pattern above, in its order: what a text in small letters, all runs of white space as one space, holds if the pattern fits it, one of
 # them at least; an empty tuple where nothing can be said. Looking for these first spares most searches.
 _RV, _DRIVEN = ("rv", "r.v", "r v", "r. v"), ("najeto", "nájezd")
 YEAR_HIGH_HOLDS = [
-    ("výroby", "výroba", "vyrobeno", *_RV), ("rok",), ("výroby", *_RV), ("rč",), ("provozu",), ("provozu",), ("registrace", "majitel", "provoz"),
+    ("výroby", "výroba", "vyrobeno", *_RV), ("rok:", "rok :"), ("výroby", *_RV), ("rč",), ("provozu",), ("provozu",), ("registrace", "majitel", "provoz"),
     ("/",), ("reg",), ("(",), ("výroby", "výroba", *_RV), ("rok",),
 ]
 YEAR_MEDIUM_HOLDS = [("km", "kw", "tdi", "tsi"), ("škoda", "vw", "audi", "bmw", "toyota", "ford", "mazda"), (",",), ("/",)]
@@ -100,7 +100,7 @@ YEAR_EXCLUDED_HOLDS = [
 ]
 YEAR_LOW_HOLDS = [()]
 MILEAGE_HIGH_HOLDS = [
-    (*_DRIVEN, "skutečných", "počet", "celkem"), ("najeto", "celkem"), (":",), (":",), _DRIVEN, ("tis",), _DRIVEN, _DRIVEN, ("xxx",), ("***",), _DRIVEN,
+    (*_DRIVEN, "skutečných", "počet", "celkem"), ("km najeto", "km celkem"), ("km:", "km :"), ("km:", "km :"), _DRIVEN, ("tis",), _DRIVEN, _DRIVEN, ("xxx",), ("***",), _DRIVEN,
 ]
 MILEAGE_MEDIUM_HOLDS = [
     ("km",), ("km",), ("tis",), ("kkm", "k km"), ("tkm", "t km"), ("xxx",), ("***",), ("tis",), ("k",), ("t",), ("tkm", "t.km"), ("xxx",), ("***",),
