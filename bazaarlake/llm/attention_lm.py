@@ -41,6 +41,8 @@ NEAR = 16
 #: Rounds of learning, of how many windows each takes one (as many: all are met); windows in a step; the rate of steps.
 ROUNDS = SHARE = 2
 BATCH, RATE = 128, 0.03
+#: Windows of a step whose gradients are worked out at once: arrays of this size stay in a core's cache, and in memory that is kept.
+PART = 64
 #: Ids read at once; windows scored at once; slices of sums; counts that a prior is worth; the log of no probability.
 AT_ONCE, RUN, SUMS, PRIOR, NEVER = 200_000, 128, 64, 20.0, -60.0
 #: Decimals of a score: the last bits of 32-bit products depend on what they are multiplied with.
@@ -67,95 +69,121 @@ class Model:
 
 # The model.
 
+#: Places between each of a window's last STEP places and all of its places; WIDTH for later ones.
+APART = np.arange(WIDTH - STEP, WIDTH)[:, None] - np.arange(WIDTH)
+APART[APART < 0] = WIDTH
+#: The number that each weight of an input row has among all of them.
+NUMBERS = np.arange((OWN + GROUPS * BINS) * SIZE).reshape(-1, SIZE)
+
 
 def visible(w: Weights) -> np.ndarray:
     """What a window's last STEP places see of its places: 0 of later ones, and more or less by distance."""
-    distance = np.arange(WIDTH - STEP, WIDTH)[:, None] - np.arange(WIDTH)
-    return np.where(distance >= 0, np.exp(w["distance"][np.maximum(distance, 0)]), 0).astype(w["distance"].dtype)
+    return np.append(np.exp(w["distance"]), w["distance"].dtype.type(0))[APART]
 
 
-def attend(q: np.ndarray, k: np.ndarray, v: np.ndarray, x: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Attention of each window, its sums by place, and its last places' x with what they attend to; k and v of all places, q and x of the last."""
+def attend(q: np.ndarray, k: np.ndarray, v: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Attention of each window, its sums by place, and what its last places attend to; k and v of all places, q of the last."""
     a = q @ k.transpose(0, 2, 1)
     np.clip(a, -30, 30, out=a)
     np.exp(a, out=a)
     a *= seen
-    total = a @ np.ones(WIDTH, a.dtype)
-    y = a @ v
-    y /= total[..., None]
-    y += x
-    return a, total, y.reshape(-1, y.shape[-1])
+    total = a.reshape(-1, WIDTH) @ np.ones((WIDTH, 1), a.dtype)
+    met = (a @ v).reshape(-1, v.shape[-1])
+    met /= total
+    return a, total, met
 
 
-def chances(model: Model, y: np.ndarray, last: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Natural logs of the target cells' probabilities after cells last; y with the hidden layer; exponentials of groups, then bins; their two sums."""
+def chances(model: Model, y: np.ndarray, last: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Natural logs of the target cells' probabilities after cells last; y with the hidden layer; exponentials of groups, then bins; their
+    two sums; the targets' groups, then bins, among the exponentials."""
     w, groups = model.weights, model.by_group.shape[1]
+    both = np.empty((len(y), SIZE + HIDDEN), y.dtype)
+    both[:, :SIZE] = y
     h = y @ w["up"]
     h += w["up0"]
-    np.maximum(h, 0, out=h)
-    both = np.concatenate([y, h], axis=1)
+    np.maximum(h, 0, out=both[:, SIZE:])
     logits = both @ w["head"]
     group, bin_ = np.divmod(target, BINS)
-    # One addition of whole rows is faster than two of parts of them.
-    logits += np.concatenate([model.by_group.take(last, axis=0), model.by_bin.reshape(-1, BINS).take(last * groups + group, axis=0)], axis=1)
+    logits[:, :groups] += model.by_group.take(last, axis=0)
+    logits[:, groups:] += model.by_bin.reshape(-1, BINS).take(last * groups + group, axis=0)
     np.clip(logits, NEVER, 30, out=logits)
-    at = np.arange(len(target))
-    found = logits[at, group] + logits[at, groups + bin_]
+    at = np.arange(0, logits.size, logits.shape[1])
+    spots = np.concatenate([at + group, at + (groups + bin_)])
+    found = logits.reshape(-1).take(spots)
     p = np.exp(logits, out=logits)
     sums = p @ np.repeat(np.eye(2, dtype=p.dtype), [groups, BINS], axis=0)
-    found -= np.log(sums[:, 0] * sums[:, 1])
-    return found, both, p, sums
-
-
-#: Places between each of a window's last STEP places and all of its places.
-APART = np.arange(WIDTH - STEP, WIDTH)[:, None] - np.arange(WIDTH)
+    return found[: len(at)] + found[len(at) :] - np.log(sums[:, 0] * sums[:, 1]), both, p, sums, spots
 
 
 def gradients(model: Model, inputs: np.ndarray, targets: np.ndarray, counts: np.ndarray) -> tuple[float, Weights]:
     """Mean loss over the places that count, of windows of inputs and targets of their last STEP places; its gradient by each weight.
 
-    Products are those of all windows at once where they can be; the last places' are views of, or in, those of all places.
+    Windows go PART at a time, and the gradients are sums over all of them.
     """
-    w, groups = model.weights, model.by_group.shape[1]
+    w = model.weights
     kind = w["embed"].dtype
-    rows, target, last = model.row[inputs], model.cell[targets].reshape(-1), model.cell[inputs[:, WIDTH - STEP :]].reshape(-1)
+    rows, last, target = model.row.take(inputs), model.cell.take(inputs[:, WIDTH - STEP :]).reshape(-1), model.cell.take(targets).reshape(-1)
     weight = (counts.reshape(-1) / max(1, counts.sum())).astype(kind)
-    x = w["embed"].take(rows, axis=0)
-    own = np.ascontiguousarray(x[:, WIDTH - STEP :])
-    flat_x, flat_own = x.reshape(-1, SIZE), own.reshape(-1, SIZE)
     scale = 1 / np.sqrt(SIZE).astype(kind)
-    q = (flat_own @ (w["query"] * scale)).reshape(own.shape)
-    k, v = (flat_x @ w["key"]).reshape(x.shape), (flat_x @ w["value"]).reshape(x.shape)
-    a, total, y = attend(q, k, v, own, visible(w))
-    a /= total[..., None]
-    logs, both, d, sums = chances(model, y, last, target)
-    shares = weight[:, None] / sums
-    d[:, :groups] *= shares[:, :1]
-    d[:, groups:] *= shares[:, 1:]
-    at, (group, bin_) = np.arange(len(target)), np.divmod(target, BINS)
-    d[at, group] -= weight
-    d[at, groups + bin_] -= weight
-    g = {"head": both.T @ d}
+    made = {"query": w["query"] * scale, "key and value": np.concatenate([w["key"], w["value"]], axis=1), "seen": visible(w)}
+    g = {k: np.zeros_like(x) for k, x in (made | {k: w[k] for k in ("up", "up0", "head")}).items()}
+    dx = np.empty((*inputs.shape, SIZE), kind)
+    loss = 0.0
+    for at in range(0, len(inputs), PART):
+        part, places = slice(at, at + PART), slice(at * STEP, (at + PART) * STEP)
+        loss += add_gradients(model, made, g, dx[part], rows[part], last[places], target[places], weight[places])
+    both = g.pop("key and value")
+    g |= {"query": g["query"] * scale, "key": both[:, :SIZE], "value": both[:, SIZE:]}
+    g["distance"] = np.bincount(APART.reshape(-1), g.pop("seen").reshape(-1))[:WIDTH].astype(kind)
+    numbers = NUMBERS.take(rows.reshape(-1), axis=0).reshape(-1)
+    g["embed"] = np.bincount(numbers, dx.reshape(-1), w["embed"].size).reshape(-1, SIZE).astype(kind)
+    return loss, g
+
+
+def add_gradients(
+    model: Model, made: Weights, g: Weights, dx: np.ndarray, rows: np.ndarray, last: np.ndarray, target: np.ndarray, weight: np.ndarray
+) -> float:
+    """Loss of some windows, by weight of each of their last places; adds to the gradients g, and sets those by each place's input, dx.
+
+    made: what products take of the weights. Products are those of all windows at once where they can be.
+    """
+    w, groups = model.weights, model.by_group.shape[1]
+    x, own = w["embed"].take(rows, axis=0), w["embed"].take(rows[:, WIDTH - STEP :], axis=0)
+    flat_x, flat_own = x.reshape(-1, SIZE), own.reshape(-1, SIZE)
+    q = (flat_own @ made["query"]).reshape(own.shape)
+    kv = (flat_x @ made["key and value"]).reshape(len(x), WIDTH, 2 * SIZE)
+    k, v = kv[..., :SIZE], kv[..., SIZE:]
+    a, total, met = attend(q, k, v, made["seen"])
+    y = met + flat_own
+    logs, both, d, sums, spots = chances(model, y, last, target)
+    d *= (weight[:, None] / sums) @ np.repeat(np.eye(2, dtype=d.dtype), [groups, BINS], axis=1)
+    d.reshape(-1)[spots] -= np.concatenate([weight, weight])
+    g["head"] += both.T @ d
     dboth = d @ w["head"].T
     dh = dboth[:, SIZE:] * (both[:, SIZE:] > 0)
-    g["up"], g["up0"] = y.T @ dh, dh.sum(axis=0)
-    flat_dy = dh @ w["up"].T
-    flat_dy += dboth[:, :SIZE]
-    dy = flat_dy.reshape(own.shape)
-    ds = dy @ v.transpose(0, 2, 1)
-    ds -= (flat_dy * (y - flat_own)).sum(axis=1).reshape(len(x), STEP, 1)  # what a place attends to is its mean by a
+    g["up"] += y.T @ dh
+    g["up0"] += np.ones(len(dh), dh.dtype) @ dh
+    dy = dh @ w["up"].T
+    dy += dboth[:, :SIZE]
+    # By attention before it is divided by its sums: what a place attends to is its mean by a.
+    by_sum = dy / total
+    dmet = by_sum.reshape(own.shape)
+    ds = dmet @ v.transpose(0, 2, 1)
+    met *= by_sum
+    ds -= (met @ np.ones((SIZE, 1), met.dtype)).reshape(len(x), STEP, 1)
     ds *= a
-    g["distance"] = np.bincount(APART[APART >= 0], ds.sum(axis=0)[APART >= 0], WIDTH).astype(kind)
+    g["seen"] += ds.sum(axis=0)
     dq = (ds @ k).reshape(-1, SIZE)
-    dk, dv = ((p.transpose(0, 2, 1) @ z).reshape(-1, SIZE) for p, z in ((ds, q), (a, dy)))
-    g["query"], g["key"], g["value"] = flat_own.T @ dq * scale, flat_x.T @ dk, flat_x.T @ dv
-    dx = dk @ w["key"].T
-    dx += dv @ w["value"].T
-    flat_dy += dq @ (w["query"].T * scale)
-    dx.reshape(x.shape)[:, WIDTH - STEP :] += dy
-    places = (rows.reshape(-1, 1) * SIZE + np.arange(SIZE)).reshape(-1)
-    g["embed"] = np.bincount(places, dx.reshape(-1), w["embed"].size).reshape(-1, SIZE).astype(kind)
-    return -float(logs @ weight), g
+    dkv = np.empty_like(kv)
+    np.matmul(ds.transpose(0, 2, 1), q, out=dkv[..., :SIZE])
+    np.matmul(a.transpose(0, 2, 1), dmet, out=dkv[..., SIZE:])
+    flat_dkv = dkv.reshape(-1, 2 * SIZE)
+    g["query"] += flat_own.T @ dq
+    g["key and value"] += flat_x.T @ flat_dkv
+    np.matmul(flat_dkv, made["key and value"].T, out=dx.reshape(-1, SIZE))
+    dy += dq @ made["query"].T
+    dx[:, WIDTH - STEP :] += dy.reshape(own.shape)
+    return -float(logs @ weight)
 
 
 class Adam:
@@ -164,18 +192,24 @@ class Adam:
     def __init__(self, w: Weights):
         self.w, self.t = w, 0
         self.all = np.concatenate([x.reshape(-1) for x in w.values()])
-        self.m, self.v = np.zeros_like(self.all), np.zeros_like(self.all)
+        self.m, self.v, self.d = (np.zeros_like(self.all) for _ in range(3))
         at = np.cumsum([x.size for x in w.values()])[:-1]
         w.update({k: part.reshape(w[k].shape) for k, part in zip(list(w), np.split(self.all, at), strict=True)})
 
     def step(self, g: Weights, rate: float) -> None:
         self.t += 1
-        m, v, d = self.m, self.v, np.concatenate([g[k].reshape(-1) for k in self.w])
+        m, v, d = self.m, self.v, self.d
+        np.concatenate([g[k].reshape(-1) for k in self.w], out=d)
         m *= 0.9
         m += 0.1 * d
         v *= 0.99
-        v += 0.01 * d**2
-        np.divide(m, np.sqrt(v / (1 - 0.99**self.t)) + 1e-8, out=d)
+        d *= d
+        d *= 0.01
+        v += d
+        np.divide(v, 1 - 0.99**self.t, out=d)
+        np.sqrt(d, out=d)
+        d += 1e-8
+        np.divide(m, d, out=d)
         d *= rate / (1 - 0.9**self.t)
         self.all -= d
 
@@ -224,9 +258,10 @@ def scores(model: Model, texts: list[np.ndarray], at_once: int = RUN) -> np.ndar
         to = min(b + at_once, stream.blocks)
         part = slice(b * STEP, to * STEP)
         around, own = rows[(b - 1) * STEP : to * STEP], rows[part]
-        k, v = overlapping(key[around]), overlapping(value[around])
+        k, v = overlapping(key.take(around, axis=0)), overlapping(value.take(around, axis=0))
         shape = (to - b, STEP, SIZE)
-        y = attend(query[own].reshape(shape), k, v, w["embed"][own].reshape(shape), seen)[2]
+        y = attend(query.take(own, axis=0).reshape(shape), k, v, seen)[2]
+        y += w["embed"].take(own, axis=0)
         logs[part] = chances(model, y, last[part], target[part])[0]
     found = logs[stream.at] / np.log(10) + model.share[stream.ids[stream.at]]
     return np.add.reduceat(found, stream.before)
@@ -262,20 +297,27 @@ def mixed(ids: np.ndarray) -> np.ndarray:
     return (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % NEAR
 
 
+def chained(texts: list[np.ndarray], end: int) -> np.ndarray:
+    """Ids of texts one after the other, each after an end."""
+    first = np.array([end], texts[0].dtype)
+    return np.concatenate([part for x in texts for part in (first, x)]).astype(np.int64)
+
+
 def neighbours(texts: DataFrame, end: int) -> np.ndarray:
     """Of each id and the end: how often it occurs, and beside ids of each bucket, before (NEAR) and after (NEAR)."""
     kind = id_type(end)
     width = 2 * NEAR
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((end + 1) * width, np.int64)
+        total, bucket = np.zeros((end + 1) * width, np.int64), mixed(np.arange(end + 1))
         for held in texts_of(batches, kind):
-            ids = np.concatenate([np.append(end, x) for x in held]).astype(np.int64)
+            ids = chained(held, end)
             one, other = ids[:-1], ids[1:]
             inside = other != end  # what an end starts is another text
             inside |= one != end
-            np.add.at(total, other[inside] * width + mixed(one[inside]), 1)
-            np.add.at(total, one[inside] * width + NEAR + mixed(other[inside]), 1)
+            one, other = one[inside], other[inside]
+            np.add.at(total, other * width + bucket.take(one), 1)
+            np.add.at(total, one * width + NEAR + bucket.take(other), 1)
         total = total.reshape(-1, width)
         used = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([x.tobytes() for x in total[used].astype("<i8")], pa.binary())], ["id", "near"])
@@ -415,7 +457,7 @@ def ordered(texts: DataFrame, sent: Broadcast, kind: str) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> tuple[int, np.ndarray]:
         model, n, total = sent.value, 0, np.zeros(cells * cells, np.int64)
         for held in texts_of(batches, kind):
-            found = model.cell[np.concatenate([np.append(model.end, x) for x in held]).astype(np.int64)]
+            found = model.cell.take(chained(held, model.end))
             inside = np.ones(len(found), bool)
             inside[np.cumsum([len(x) + 1 for x in held])[:-1]] = False  # the end before a text
             np.add.at(total, (found[:-1] * cells + found[1:])[inside[1:]], 1)
@@ -437,11 +479,12 @@ def chosen(stream: Stream, texts: list[np.ndarray], turn: int, share: int = SHAR
 def learn(model: Model, adam: Adam, texts: list[np.ndarray], turn: int, share: int = SHARE, rounds: int = ROUNDS) -> int:
     """Steps over the round's windows of each text, in mixed order; their number."""
     stream = Stream(texts, model.end)
+    model = replace(model, weights=adam.w)
     pick = chosen(stream, texts, turn, share, rounds)
     pick = pick[np.random.default_rng(len(pick)).permutation(len(pick))]
     for at in range(0, len(pick), BATCH):
         part = pick[at : at + BATCH]
-        _, g = gradients(replace(model, weights=adam.w), *stream.windows(part))
+        _, g = gradients(model, *stream.windows(part))
         adam.step(g, RATE * len(part) / BATCH * min(1, (adam.t + 1) / 20))
     return len(pick)
 

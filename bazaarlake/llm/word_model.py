@@ -16,15 +16,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaarlake.llm.common import give_back, stored
-from bazaarlake.llm.tokens import SAFE, SPECIAL, coder
+from bazaarlake.llm.tokens import PRETOKEN, SAFE, SPECIAL, SPELT, WordBpe, coder
 
-#: Bytes of text in a block, about; words whose ids are put together at once; what ends each text, as a word that no text holds.
-BLOCK, AT_ONCE = 28 << 20, 200_000
+#: Bytes of text in a block, about, and split at once; words whose ids are put together at once; what ends each text, as a word that
+#: no text holds.
+BLOCK, PIECE, AT_ONCE = 28 << 20, 4 << 20, 200_000
 END = b" "
 LISTED = "block long, word long, i int, n int, doc_id long, train boolean, bag binary, ids binary"
 
@@ -45,73 +47,98 @@ def id_type(n_ids: int) -> str:
     return "<u2" if n_ids < 1 << 16 else "<u4"
 
 
-class Places(dict):
-    """Words in the order in which they were first looked up."""
+class Made(dict):
+    """The ids of pre-tokens, in 4 bytes each; new ones are worked out when they are looked up."""
 
-    def __missing__(self, word: bytes) -> int:
-        place = self[word] = len(self)
-        return place
+    def __init__(self, bpe: WordBpe):
+        super().__init__(bpe.single)
+        self.bpe = bpe
+        self.coded = [k.to_bytes(4, "little") for k in range(bpe.whole.get_vocab_size())]
+
+    def __missing__(self, pretoken: str) -> bytes:
+        coded, spelt = self.coded, pretoken if pretoken.isascii() else pretoken.translate(SPELT)
+        found = self[pretoken] = b"".join([coded[t.id] for t in self.bpe.merge(spelt)])
+        return found
+
+    def ids(self, word: str) -> bytes:
+        """Of a word in lower case."""
+        return self[word] if word.isalpha() else b"".join(map(self.__getitem__, PRETOKEN.findall(word)))
 
 
 class Block:
+    """Texts, as places of their words in the block's list of distinct ones; what ends a text stands last there."""
+
     def __init__(self, path: str):
         self.bpe = coder(path)
         self.end = self.bpe.whole.get_vocab_size()
         self.type = id_type(self.end)
-        self.places = Places()
+        self.words: list[pa.Array] = []
+        self.sizes: list[np.ndarray] = []
         self.docs: list[tuple] = []
         self.size = 0
 
-    def add(self, doc_id: int | None, text: str, train: bool) -> None:
-        words = text.encode().lower().split()  # bytes: A-Z only, and ASCII white space only
-        words.append(END)
-        at = np.fromiter(map(self.places.__getitem__, words), np.int32, len(words))
-        by_word = SAFE.fullmatch(text) and not ("<|" in text and SPECIAL.search(text))  # the ids are those of the words
-        own = None if by_word else self.bpe.ids(text)
-        self.docs.append((doc_id, train, at, own))
-        self.size += len(text)
+    def add(self, batch: pa.RecordBatch) -> None:
+        """batch: (doc_id, text, train)."""
+        # ASCII functions: A-Z only, and ASCII white space only.
+        bare = pc.ascii_trim_whitespace(pc.ascii_lower(batch.column(1)))
+        split = pc.ascii_split_whitespace(bare)
+        words, sizes = split.flatten(), pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+        blank = pc.binary_length(bare).to_numpy(zero_copy_only=False) == 0
+        if blank.any():  # no words, and not one empty one
+            words, sizes = words.filter(pc.greater(pc.binary_length(words), 0)), np.where(blank, 0, sizes)
+        self.words.append(words)
+        self.sizes.append(sizes)
+        for doc_id, text, train in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            by_word = SAFE.fullmatch(text) and not ("<|" in text and SPECIAL.search(text))  # the ids are those of the words
+            self.docs.append((doc_id, train, None if by_word else self.bpe.ids(text)))
+            self.size += len(text)
 
     def rows(self, number: int) -> Iterator[pa.RecordBatch]:
-        size = len(self.places)
-        n = np.zeros(size, np.int64)
-        for _, train, at, _ in self.docs:
-            if train:
-                np.add.at(n, at, 1)
+        words = pa.concat_arrays(self.words)
+        self.words.clear()
+        listed = words.dictionary_encode()
+        distinct = listed.dictionary
+        end = len(distinct)
+        size = end + 1
+        sizes = np.concatenate(self.sizes)
+        places = np.insert(listed.indices.to_numpy(), np.cumsum(sizes), end)
+        del words, listed
+        sizes += 1
+        n = np.bincount(places[np.repeat(np.array([doc[1] for doc in self.docs]), sizes)], minlength=size)
         if size >= 1 << 31 or n.max(initial=0) >= 1 << 31:
             raise ValueError("a block is too large")
         yield batch_of(block=pa.array([number]), bag=pa.array([n.astype("<u4").tobytes()], pa.binary()))
-        flat, length, memo, end = [], np.zeros(size, np.int64), self.bpe.memo, self.places[END]
-        listed = iter(self.places)
+        flat, length, made = [], np.zeros(size, np.int64), Made(self.bpe)
         for at in range(0, size, AT_ONCE // 4):
-            words = list(itertools.islice(listed, AT_ONCE // 4))
+            words, parts = [], []
+            if part := len(own := distinct.slice(at, AT_ONCE // 4)):
+                joined = pc.binary_join(pa.ListArray.from_arrays([0, part], own), " ")[0].as_py()  # no word holds a space
+                words, parts = joined.encode().split(b" "), list(map(made.ids, joined.lower().split(" ")))
+            if at + AT_ONCE // 4 >= size:
+                words.append(END)
+                parts.append(self.end.to_bytes(4, "little"))
             i = np.arange(at, at + len(words), dtype=np.int32)
             hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
             yield batch_of(block=pa.array(np.full(len(words), number)), word=pa.array(hashes), i=pa.array(i), n=pa.array(n[i].astype(np.int32)))
-            parts = [memo[w.decode().lower()] for w in words]
-            if at <= end < at + len(words):
-                parts[end - at] = self.end.to_bytes(4, "little")
             length[i] = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
             flat.append(np.frombuffer(b"".join(parts), "<u4").astype(self.type))
-        self.places = Places()
+        del distinct, made
         flat, start = np.concatenate(flat), np.cumsum(length) - length
-        held: list[tuple] = []
-        count = 0
-        for doc in [*self.docs, None]:
-            if held and (doc is None or count > AT_ONCE):
-                yield self.texts(number, held, flat, start, length)
-                held, count = [], 0
-            if doc:
-                held.append(doc)
-                count += len(doc[2])
-
-    def texts(self, number: int, docs: list[tuple], flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
-        at = np.concatenate([doc[2] for doc in docs])
+        first = np.cumsum(sizes) - sizes
+        cuts = np.flatnonzero(np.diff(first // AT_ONCE)) + 1
+        for docs, at in zip(np.split(np.arange(len(sizes)), cuts), np.split(places, first[cuts]), strict=True):
+            yield self.texts(number, [self.docs[k] for k in docs], at, sizes[docs], flat, start, length)
+
+    def texts(
+        self, number: int, docs: list[tuple], at: np.ndarray, words: np.ndarray, flat: np.ndarray, start: np.ndarray, length: np.ndarray
+    ) -> pa.RecordBatch:
+        """Rows of docs. at: their words' places, one text's after the other's; words: how many each has."""
         sizes = length[at]
         ends = np.cumsum(sizes)
         ids = flat[np.repeat(start[at] - ends + sizes, sizes) + np.arange(ends[-1])]
-        cuts = ends[np.cumsum([len(doc[2]) for doc in docs]) - 1]
+        last = np.cumsum(words)
         found = []
-        for (_, _, _, own), part in zip(docs, np.split(ids, cuts[:-1]), strict=True):
+        for (_, _, own), part in zip(docs, np.split(ids, ends[last - 1][:-1]), strict=True):
             if own is not None:
                 part = np.append(np.frombuffer(own, "<u4"), self.end).astype(self.type)
             found.append(part.tobytes())
@@ -119,7 +146,7 @@ class Block:
             block=pa.array([number] * len(docs)),
             doc_id=pa.array([doc[0] for doc in docs], pa.int64()),
             train=pa.array([doc[1] for doc in docs]),
-            bag=pa.array([bag(doc[2]) for doc in docs], pa.binary()),
+            bag=pa.array([bag(part) for part in np.split(at, last[:-1])], pa.binary()),
             ids=pa.array(found, pa.binary()),
         )
 
@@ -135,6 +162,14 @@ def batch_of(**columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(size, f.type)) for f in KINDS], schema=KINDS)
 
 
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """batch, cut before texts that begin another PIECE bytes."""
+    size = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+    cuts = np.flatnonzero(np.diff((np.cumsum(size) - size) // PIECE)) + 1
+    for at, to in itertools.pairwise([0, *cuts.tolist(), batch.num_rows]):
+        yield batch.slice(at, to - at)
+
+
 def listing(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(doc_id, text, train) to rows for the words of a block, one for their counts, and rows for its texts."""
 
@@ -144,17 +179,14 @@ def listing(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
         number = TaskContext.get().partitionId() << 24
         block = Block(path)
         for batch in batches:
-            for doc_id, text, train in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                block.add(doc_id, text, train)
+            for part in pieces(batch):
+                block.add(part)
                 if block.size >= BLOCK:
                     yield from block.rows(number)
                     block, number = Block(path), number + 1
         if block.docs:
             yield from block.rows(number)
-        # The worker goes on to other stages: what blocks took, and words that no later task is likely to meet, needn't stay.
-        memo, single = block.bpe.memo, block.bpe.single
-        memo.clear()
-        memo.update(single)
+        # The worker goes on to other stages: what blocks took needn't stay.
         del block
         give_back()
 

@@ -5,13 +5,16 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from fixtures import WORDS, clashing, documents, empty, prose, rows
 
-from bazaarlake.llm import attention_lm, decontaminate, html_text, language_id, packing, tokens
+from bazaarlake.llm import attention_lm, decontaminate, html_text, language_id, packing, tokens, word_model
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -232,6 +235,60 @@ def test_gradients_are_the_slopes():
         assert g[name][at] == pytest.approx((moved[0] - moved[1]) / 2e-4, rel=0.02, abs=1e-5), name
 
 
+def test_gradients_are_worked_out_in_parts(monkeypatch):
+    """Sums over parts of the windows are those over all, and what is held is of a part's size, not of all windows."""
+    model, sample = small_model(6)
+    stream = attention_lm.Stream(sample, 50)
+    args = stream.windows(np.flatnonzero(stream.nth)[: attention_lm.BATCH])
+    tracemalloc.start()
+    loss, g = attention_lm.gradients(model, *args)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 << 20
+    for part in (1, 7, 1000):
+        monkeypatch.setattr(attention_lm, "PART", part)
+        other, found = attention_lm.gradients(model, *args)
+        assert other == pytest.approx(loss, rel=1e-5) and found.keys() == g.keys() == model.weights.keys()
+        assert all(np.allclose(found[k], g[k], rtol=1e-3, atol=1e-6) for k in g)
+
+
+def listed_rows(docs):
+    block = word_model.Block(tokens.tokenizer_path())
+    for k in range(0, len(docs), 3):
+        part = docs[k : k + 3]
+        block.add(pa.RecordBatch.from_arrays([pa.array(range(k, k + len(part))), pa.array(part), pa.array([True] * len(part))], ["doc_id", "text", "train"]))
+    return [r for batch in block.rows(5) for r in batch.to_pylist()]
+
+
+def test_listed_words_and_ids():
+    """Words are split and lower-cased as bytes are, and ids are the library's, also of texts without words and of unusual characters."""
+    rng = random.Random(3)
+    odd = "aB \t\n\x0b\x0c\r\x1c\x1f\xa0\x85é.,'1<|>İΣ"
+    docs = ["", " ", "\t\x0b ", "Tiend, tiend. TIEND", "<|endoftext|> x", "日本語 テスト", *("".join(rng.choices(odd, k=rng.randrange(40))) for _ in range(90))]
+    bpe = tokens.coder(tokens.tokenizer_path())
+    end = bpe.whole.get_vocab_size()
+    for texts in (docs, docs[:3]):
+        rows = listed_rows(texts)
+        by_place = {r["i"]: (r["word"], r["n"]) for r in rows if r["word"] is not None}
+        words = [[*x.encode().lower().split(), word_model.END] for x in texts]
+        counts = collections.Counter(xxhash.xxh3_64_intdigest(w) for x in words for w in x)
+        assert {h % (1 << 64): n for h, n in by_place.values()} == counts and len(by_place) == len(counts)
+        found = {r["doc_id"]: r for r in rows if r["ids"] is not None}
+        assert len(found) == len(texts)
+        for k, (text, own) in enumerate(zip(texts, words, strict=True)):
+            assert np.frombuffer(found[k]["ids"], "<u2").tolist() == [*bpe.whole.encode(text, add_special_tokens=False).ids, end]
+            listed = [by_place[int(i)][0] % (1 << 64) for i in word_model.unbag(found[k]["bag"])]
+            assert sorted(listed) == sorted(map(xxhash.xxh3_64_intdigest, own))
+
+
+def test_a_block_merges_each_pretoken_once(monkeypatch):
+    bpe = tokens.coder(tokens.tokenizer_path())
+    met, merge = collections.Counter(), bpe.merge
+    monkeypatch.setattr(bpe, "merge", lambda x: met.update([x]) or merge(x))
+    listed_rows(["qzwxthree qzwxthree, Qzwxthree. (qzwxthree)", "QZWXTHREE! qzwxthree's qzwxother"])
+    assert met == {"qzwxthree": 1, "qzwxother": 1}
+
+
 def test_probabilities_add_up_and_each_token_counts_once():
     model, _ = small_model()
     for before in ([], [3, 7], list(range(40))):
