@@ -79,8 +79,8 @@ class Block:
 
     def add(self, batch: pa.RecordBatch) -> None:
         """batch: (doc_id, text, train)."""
-        # ASCII functions: A-Z only, and ASCII white space only.
-        bare = pc.ascii_trim_whitespace(pc.ascii_lower(batch.column(1)))
+        # ASCII functions: A-Z only, and ASCII white space only. Sessions may send large strings, which can't be joined again.
+        bare = pc.ascii_trim_whitespace(pc.ascii_lower(batch.column(1).cast(pa.string())))
         split = pc.ascii_split_whitespace(bare)
         words, sizes = split.flatten(), pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
         blank = pc.binary_length(bare).to_numpy(zero_copy_only=False) == 0

@@ -252,11 +252,11 @@ def test_gradients_are_worked_out_in_parts(monkeypatch):
         assert all(np.allclose(found[k], g[k], rtol=1e-3, atol=1e-6) for k in g)
 
 
-def listed_rows(docs):
+def listed_rows(docs, kind=pa.string()):
     block = word_model.Block(tokens.tokenizer_path())
     for k in range(0, len(docs), 3):
         part = docs[k : k + 3]
-        block.add(pa.RecordBatch.from_arrays([pa.array(range(k, k + len(part))), pa.array(part), pa.array([True] * len(part))], ["doc_id", "text", "train"]))
+        block.add(pa.RecordBatch.from_arrays([pa.array(range(k, k + len(part))), pa.array(part, kind), pa.array([True] * len(part))], ["doc_id", "text", "train"]))
     return [r for batch in block.rows(5) for r in batch.to_pylist()]
 
 
@@ -267,8 +267,8 @@ def test_listed_words_and_ids():
     docs = ["", " ", "\t\x0b ", "Tiend, tiend. TIEND", "<|endoftext|> x", "日本語 テスト", *("".join(rng.choices(odd, k=rng.randrange(40))) for _ in range(90))]
     bpe = tokens.coder(tokens.tokenizer_path())
     end = bpe.whole.get_vocab_size()
-    for texts in (docs, docs[:3]):
-        rows = listed_rows(texts)
+    for texts, kind in ((docs, pa.string()), (docs[:3], pa.string()), (docs, pa.large_string())):
+        rows = listed_rows(texts, kind)
         by_place = {r["i"]: (r["word"], r["n"]) for r in rows if r["word"] is not None}
         words = [[*x.encode().lower().split(), word_model.END] for x in texts]
         counts = collections.Counter(xxhash.xxh3_64_intdigest(w) for x in words for w in x)
